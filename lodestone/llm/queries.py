@@ -1,11 +1,15 @@
 """The queries of this subpackage, for ``__spark_entry__.py``."""
 
 from .packing import op1_packing
+from .simhash import op4_simhash
 from .token_counts import op8_token_counts
 from .token_store import op7_token_store
+from .warc import op6_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_simhash": op4_simhash,
+    "op6_warc": op6_warc,
     "op7_token_store": op7_token_store,
     "op8_token_counts": op8_token_counts,
 }

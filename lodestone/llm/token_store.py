@@ -146,7 +146,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 store, path = open_store(row["file"])
-                with store.open_input_stream(path) as f:
+                with store.open_input_stream(path, compression=None) as f:
                     tokens = TokenFile(f.read())
                 off, crcs, ids = tokens.offsets, [], []
                 for k in range(len(tokens.doc_ids)):
