@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .samples import fold, sample_ids
 from .shared import table
 
@@ -133,6 +134,7 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 1000,
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with lang_pred and score; ``und`` and 0 if text is null, has no letter, or there is no model."""
+    ship(docs.sparkSession)
     own = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

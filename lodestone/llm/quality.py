@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .samples import fold, sample_ids
 from .shared import table
 
@@ -137,6 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    ship(docs.sparkSession)
     own = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def score(docs: DataFrame, model: Trees, keep: list[str], least: float = 0.7) -> DataFrame:
     """The columns ``keep`` with score and predicted (1 if the score is at least ``least``). A null text is scored as an empty one."""
+    ship(docs.sparkSession)
     own = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .components import connected_components
 from .shared import stash, table
 
@@ -54,6 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             fps = np.array([fingerprint(x or "", words, seed) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

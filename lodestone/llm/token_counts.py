@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .bpe import Encoder, default_path
 from .shared import new_dir, table
 
@@ -39,6 +40,7 @@ def _digest(text, folded: bool):
 
 def count_misses(docs: DataFrame, cache_dir: str, tokenizer: str, text_col: str = "text") -> None:
     """Encode every distinct text that the cache lacks and append its count."""
+    ship(docs.sparkSession)
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     folded = not Encoder.at(tokenizer).spaced
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", _digest(F.col("text"), folded))

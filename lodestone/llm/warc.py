@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import new_dir, open_store, put_file, stash, table
 
 #: Fixed values of the zstd and WARC formats.
@@ -139,6 +140,7 @@ def write_archives(pages: DataFrame, out_dir: str, least: int = 0, sample_rows:
     A null html is an empty payload, a null url an empty URI. A null page_id is never the response that others revisit, unless
     all are null: then all are responses. Of rows that repeat the smallest page_id each is a response. The dictionary is learned from the ``sample_rows`` first rows by hash.
     """
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
     first = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"))
