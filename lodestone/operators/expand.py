@@ -19,20 +19,21 @@ def beam_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, beam: int = 2
     """(query_id, node_type, node_idx, score, hop) from seeds (query_id, node_type, node_idx, score).
 
     On hop h a node passes score * decay ** h * edge weight * type weight to its neighbours; a node keeps its greatest score and first hop; the ``beam`` best
-    new nodes with at least ``least_gain`` go on, and the ``most`` best nodes of each query are returned.
+    new nodes with at least ``least_gain`` go on, and the ``most`` best nodes of each query are returned. What a hop reads several times is
+    persisted, as it would be worked out anew for each use; there are a few thousand rows of it per query at most.
     """
     typed = _typed(edges, weights)
     keys = ["query_id", "node_type", "node_idx"]
-    found = seeds.groupBy(*keys).agg(F.max("score").alias("score")).withColumn("hop", F.lit(0))
+    found = seeds.groupBy(*keys).agg(F.max("score").alias("score")).withColumn("hop", F.lit(0)).persist()
     front = found
     for h in range(1, hops + 1):
         step = front.join(typed, ["node_type", "node_idx"]).select("query_id", F.col("dst_type").alias("node_type"), F.col("dst").alias("node_idx"), (F.col("score") * decay**h * F.col("w")).alias("score"))
-        step = step.groupBy(*keys).agg(F.max("score").alias("score")).where(F.col("score") >= least_gain)
+        step = step.groupBy(*keys).agg(F.max("score").alias("score")).where(F.col("score") >= least_gain).persist()
         fresh = step.join(found.select(*keys), keys, "left_anti")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_type", "node_idx")
-        front = fresh.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= beam).drop("_r").withColumn("hop", F.lit(h))
+        front = fresh.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= beam).drop("_r").withColumn("hop", F.lit(h)).persist()
         again = step.join(found.select(*keys, "hop"), keys)
-        found = found.unionByName(again).unionByName(front).groupBy(*keys).agg(F.max("score").alias("score"), F.min("hop").alias("hop"))
+        found = found.unionByName(again).unionByName(front).groupBy(*keys).agg(F.max("score").alias("score"), F.min("hop").alias("hop")).persist()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_type", "node_idx")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 

@@ -5,6 +5,9 @@ Each DataFrame has its counterpart among the CTEs of ``oracles.py``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from ..operators import graph as g
 from ..operators.knn import semantic_edges
 from ..session import ship
 
-_graphs: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,19 +64,25 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(c.select(F.lit(g.CAPTION).alias("node_type"), F.col("id").alias("node_idx"), F.col("id").cast("string").alias("ext_id"), "text", F.col("embedding").cast("array<float>").alias("embedding")))
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries read, made once for a session and input and persisted."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make().persist()
+    return _kept[key]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph's edges, built once for a session and kept: images 8 nearest, captions 4 nearest, pairs and co-occurrence."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _graphs:
+    """The graph's edges: images 8 nearest, captions 4 nearest, pairs and co-occurrence."""
+
+    def make() -> DataFrame:
         i, c = images(spark, sf_dir), captions(spark, sf_dir)
         cap = c.select(F.col("id").alias("node_idx"), F.col("image").alias("image_id"))
         img = i.select(F.col("id").alias("ext_id"), F.col("id").alias("node_idx"))
         parts = [semantic_edges(i, 8, 8, g.IMAGE), semantic_edges(c, 4, 4, g.CAPTION), g.paired_edges(cap, img), g.cooccur_edges(cap)]
-        out = parts[0].select(*g.EDGE)
-        for p in parts[1:]:
-            out = out.unionByName(p.select(*g.EDGE))
-        _graphs[key] = out.persist()
-    return _graphs[key]
+        return reduce(DataFrame.unionByName, [p.select(*g.EDGE) for p in parts])
+
+    return kept(spark, sf_dir, "edges", make)
 
 
 def synthetic_scores(pairs: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ ORACLE_SQL: dict[str, str] = {
     "beam_expand": sql("SELECT query_id, node_type, node_idx, round(score, 6) AS score, hop::BIGINT AS hop FROM f2", "f2"),
     "candidate_images": sql("SELECT query_id, node_idx AS id, round(score, 6) AS score FROM f2 WHERE node_type = 'image'", "f2"),
     "kg_min_hops": sql("SELECT query_id, node_type, node_idx, round(1.0::DOUBLE / (1 + hop), 6) AS kg FROM f2", "f2"),
-    "kg_ppr": sql("SELECT query_id, node_type, node_idx, round(score, 6) AS score FROM p3", "p3"),
+    "kg_ppr": sql("SELECT query_id, node_type, node_idx, round(ln(score), 6) AS log_score FROM p3", "p3"),
     "context_payload": sql("""SELECT query_id, coalesce(string_agg(CASE WHEN node_type = 'caption' THEN substring(text, 1, 120) END, '|' ORDER BY r), '') AS texts, coalesce(string_agg(CASE WHEN node_type = 'image' THEN node_idx::VARCHAR END, ',' ORDER BY r), '') AS image_ids, coalesce(string_agg(CASE WHEN node_type = 'caption' THEN node_idx::VARCHAR END, ',' ORDER BY r), '') AS caption_ids
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_type ORDER BY score DESC, node_idx) AS r FROM f2) f LEFT JOIN cap c ON f.node_type = 'caption' AND c.id = f.node_idx WHERE r <= CASE node_type WHEN 'caption' THEN 5 ELSE 4 END GROUP BY query_id""", "f2", "cap"),
 }

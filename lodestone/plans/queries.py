@@ -49,7 +49,7 @@ def _hybrid(spark: SparkSession, sf: str, available: DataFrame | None = None) ->
 
 
 def _seeds(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    return seeds.seed_nodes(d.queries(spark, sf), d.images(spark, sf), d.captions(spark, sf), d.edges(spark, sf), k)
+    return d.kept(spark, sf, f"seeds{k}", lambda: seeds.seed_nodes(d.queries(spark, sf), d.images(spark, sf), d.captions(spark, sf), d.edges(spark, sf), k))
 
 
 def _expanded(spark: SparkSession, sf: str) -> DataFrame:
@@ -468,7 +468,8 @@ def kg_min_hops(spark, sf):
 
 @query
 def kg_ppr(spark, sf):
-    return ex.pagerank(_seeds(spark, sf), d.edges(spark, sf).where("edge_type <> 'cooccur'"), 3)
+    rank = ex.pagerank(_seeds(spark, sf), d.edges(spark, sf).where("edge_type <> 'cooccur'"), 3)
+    return rank.select("query_id", "node_type", "node_idx", F.log("score").alias("log_score"))  # scores are short decimals, which sums in another order round both ways
 
 
 @query
