@@ -118,7 +118,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(kin, np.array(ws, np.float32).reshape(-1, DIM).T, np.array(bs), machines)
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 1000, longest: int = 50_000, most_langs: int = 64) -> Model | None:
+def train(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 1000, longest: int = 10_000, most_langs: int = 32) -> Model | None:
     """Learn from text and lang of rows outside the held-out fold: at most ``per_lang`` rows for each of the ``most_langs`` most
     frequent languages, of texts of at most ``longest`` characters. None if there is no such row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")

@@ -138,14 +138,17 @@ def write_archives(pages: DataFrame, out_dir: str, least: int = 0, sample_rows:
 
     Of equal payloads of at least ``least`` bytes the one with the smallest page_id is a response and the others revisit it.
     A null html is an empty payload, a null url an empty URI. A null page_id is never the response that others revisit, unless
-    all are null: then all are responses. Of rows that repeat the smallest page_id each is a response. The dictionary is learned from the ``sample_rows`` first rows by hash.
+    all are null: then all are responses. Of rows that repeat the smallest page_id each is a response. The dictionary is learned from the starts of about ``sample_rows`` rows
+    picked by hash, twice as many at most.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
     first = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    sample = rows.select("payload", F.xxhash64("page_id").alias("h")).where(F.octet_length("payload").between(1, 64 << 10)).orderBy("h").limit(sample_rows)
-    learned = train([bytes(r.payload[: 8 << 10]) for r in sample.collect()], dict_bytes)  # a bounded sample
+    share = min(1.0, sample_rows / max(pages.count(), 1))
+    picked = rows.where(F.octet_length("payload").between(1, 64 << 10) & (F.pmod(F.xxhash64("page_id", "sha1"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    sample = picked.select(F.substring("payload", 1, 8 << 10).alias("payload")).limit(2 * sample_rows)
+    learned = train(sorted(bytes(r.payload) for r in sample.collect()), dict_bytes)
     stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
