@@ -78,25 +78,74 @@ def _blocks(radius: int) -> list[int]:
 
 
 def links(nodes: DataFrame, radius: int = 2, cell_cap: int = 64) -> DataFrame:
-    """Edges (a, b) between nodes (node long, fp long, fps distinct) that join just what fingerprints within ``radius`` (even, at most 4) join."""
+    """Edges (a, b) between nodes (node long, fp long, fps distinct) that join just what fingerprints within ``radius`` (0, 2 or 4) join.
+
+    With a column view, nodes are compared within their view only, in which fps are distinct.
+    """
     if radius not in (0, 2, 4):
         raise ValueError("radius must be 0, 2 or 4")
+    own = ["view"] if "view" in nodes.columns else []
     masks = [_signed(a | b) for a, b in combinations(_blocks(radius), 2)]
     grid = nodes.withColumn("emb", embed(F.col("fp")))
     cells = [F.struct(F.lit(k).cast("byte").alias("k"), F.col("emb").bitwiseAND(F.lit(m)).alias("at")) for k, m in enumerate(masks)]
-    rows = grid.select("node", "fp", "emb", F.explode(F.array(*cells)).alias("cell")).select("node", "fp", "emb", "cell.k", "cell.at")
-    full = rows.groupBy("k", "at").count().where("count > 1")
-    rows = stash(rows.join(full, ["k", "at"]), "cells")
+    rows = grid.select(*own, "node", "fp", "emb", F.explode(F.array(*cells)).alias("cell")).select(*own, "node", "fp", "emb", "cell.k", "cell.at")
+    cell = [*own, "k", "at"]
+    full = rows.groupBy(*cell).count().where("count > 1")
+    rows = stash(rows.join(full, cell), "cells")
     x = rows.where(F.col("count") <= cell_cap)
-    y = x.select("k", "at", F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.col("emb").alias("emb2"))
-    pairs = x.join(y, ["k", "at"]).where("node < node2")
+    y = x.select(*cell, F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.col("emb").alias("emb2"))
+    pairs = x.join(y, cell).where("node < node2")
     near = pairs.where(F.bit_count(F.col("emb").bitwiseXOR(F.col("emb2"))) <= radius).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
     edges = near.select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    hot = rows.where(F.col("count") > cell_cap).select("node", "fp").distinct()
+    hot = rows.where(F.col("count") > cell_cap).select(*own, "node", "fp").distinct()
     ball = [0] + [1 << i for i in range(64)] * (radius >= 2) + [1 << i | 1 << j for i, j in combinations(range(64), 2)] * (radius >= 4)
-    mids = hot.select("node", F.explode(F.transform(F.array(*[F.lit(_signed(m)) for m in ball]), lambda m: m.bitwiseXOR(F.col("fp")))).alias("mid"))
-    least = mids.groupBy("mid").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mid", "b")
-    return edges.union(mids.join(least, "mid").where("node <> b").select(F.col("node").alias("a"), "b")).distinct()
+    mids = hot.select(*own, "node", F.explode(F.transform(F.array(*[F.lit(_signed(m)) for m in ball]), lambda m: m.bitwiseXOR(F.col("fp")))).alias("mid"))
+    mid = [*own, "mid"]
+    least = mids.groupBy(*mid).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(*mid, "b")
+    return edges.union(mids.join(least, mid).where("node <> b").select(F.col("node").alias("a"), "b")).distinct()
+
+
+def shingle_set(text: Column, words: int) -> Column:
+    """Hashes of the distinct shingles; the whole sequence if there are fewer words."""
+    w = F.split(F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " ")), " ")
+    last = F.greatest(F.size(w) - words, F.lit(0))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(words)))))
+
+
+def near_copy_components(docs: DataFrame, words: int = 5, least: float = 0.8, views: int = 6, radius: int = 4, cell_cap: int = 64) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of their sets of ``words``-word shingles of at least ``least``.
+
+    Candidates are texts whose SimHash fingerprints over the set of their words differ in at most ``radius`` bits in any of ``views`` hash seeds; each
+    candidate pair is then checked exactly. A pair at the threshold differs in some 4 of 64 bits, so one view finds it about every second
+    time and six nearly always; a closer pair is found more surely. In a crowded cell a text is held against the first one at its midpoints
+    only. Equal texts are one node. Null ids get no row; null texts count as empty, and blank texts are linked.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    ids = stash(rows.select("doc_id", digest.alias("digest")), "digests")
+    heads = stash(ids.groupBy("digest").agg(F.min("doc_id").alias("node")), "heads")
+    texts = rows.withColumn("digest", digest).join(heads.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"]).select(F.col("doc_id").alias("node"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [b" ".join(sorted(set(x.encode("utf-8", "surrogatepass").lower().split()))) for x in batch.column(1).to_pylist()]
+            for v in range(views):
+                fps = np.array([fingerprint(x.decode("utf-8", "surrogatepass"), 1, 42 + v) for x in bags], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), v, np.int32)), batch.column(0), pa.array(fps.view(np.int64))], ["view", "node", "fp"])
+
+    prints = stash(texts.mapInArrow(run, "view int, node long, fp long"), "views")
+    firsts = stash(prints.groupBy("view", "fp").agg(F.min("node").alias("node")), "firsts")
+    same = prints.join(firsts.withColumnRenamed("node", "b"), ["view", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    pairs = links(firsts, radius, cell_cap).union(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = stash(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stash(texts.join(wanted, "node", "left_semi").select("node", shingle_set(F.col("text"), words).alias("s")), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    good = both.where(F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))).where(shared >= least * (F.size("x") + F.size("y") - shared))
+    found = connected_components(good.select("a", "b"))
+    by_text = heads.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return ids.join(by_text, "digest").select("doc_id", "component_id")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, cell_cap: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
