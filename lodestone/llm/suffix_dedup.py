@@ -93,8 +93,8 @@ def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
     """For each suffix in order but the first: whether it shares ``width`` bytes or more with the one before it. Numbers below ``ends`` in the transform are ends of texts, each unique.
 
     Boundaries come by increasing common prefix. Suffixes r - 1 and r that begin with the same byte c lie at psi[r - 1] and psi[r]
-    without it; they get a boundary one level after the first one between those two. With few new boundaries on a level, each is
-    extended backward by every byte; with many, all open neighbours look for one between them.
+    without it; they get a boundary one level after the first one between those two. With few new boundaries on a level, each one's
+    interval is extended backward by the bytes in it, up to the next boundary; with many, all open neighbours look for one between them.
     """
     n = len(bwt)
     psi = np.argsort(bwt, kind="stable")
@@ -102,6 +102,8 @@ def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
     low = np.searchsorted(first, np.arange(ends, int(bwt.max()) + 2))
     blocks = [(a, b) for a, b in zip(low[:-1].tolist(), low[1:].tolist(), strict=True) if b - a > 1]
     parted = np.append(True, (first[1:] != first[:-1]) | (first[1:] < ends))
+    back = np.empty(n, np.int64)
+    back[psi] = np.arange(n)
     fresh = np.flatnonzero(parted)
     open_ = np.flatnonzero(~parted)
     before, here = psi[open_ - 1], psi[open_]
@@ -109,13 +111,27 @@ def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
     for _ in range(width - 1):
         if not len(fresh) or not len(open_):
             break
-        if len(fresh) * len(blocks) * 4 < len(open_):
-            found = []
-            for a, b in blocks:
-                r = a + np.searchsorted(psi[a:b], fresh)
-                r = r[(r > a) & (r < b)]
-                found.append(r[~parted[r]])
-            fresh = np.unique(np.concatenate(found)) if found else fresh[:0]
+        if len(fresh) * 4 < len(open_):
+            found, from_, at = [], fresh, fresh
+            for _ in range(64):
+                r = back[at]
+                ok = ~parted[r]
+                r, low_end = r[ok], from_[ok]
+                found.append(r[psi[r - 1] < low_end])
+                at = at + 1
+                ok = at < n
+                from_, at = from_[ok], at[ok]
+                ok = ~parted[at]
+                from_, at = from_[ok], at[ok]
+                if not len(at):
+                    break
+            else:  # long intervals: for each byte, its first place from the boundary on
+                for x, y in blocks:
+                    r = x + np.searchsorted(psi[x:y], from_)
+                    r = r[(r > x) & (r < y)]
+                    found.append(r[~parted[r]])
+                found = [np.unique(np.concatenate(found))]
+            fresh = np.concatenate(found)
             parted[fresh] = True
             stale = True
         else:
