@@ -29,8 +29,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = EPS) -> Column:
-    """Unit length; a zero vector stays zero."""
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(eps)))
+    """Unit length; a zero vector stays zero. The norm is bound by an outer lambda, else it would be worked out for each element."""
+    return F.element_at(F.transform(F.array(F.greatest(norm(v), F.lit(eps))), lambda n: F.transform(doubles(v), lambda x: x / n)), 1)
 
 
 def scaled(v: Column, w: Column) -> Column:

@@ -47,7 +47,7 @@ class HashEncoder:
 
 def encode(df: DataFrame, column: str, make: Callable[[], Encoder], batch: int = 64) -> DataFrame:
     """Adds a column embedding of unit vectors (a zero vector stays zero)."""
-    from ..functions.vectors import l2_normalize
+    import numpy as np
 
     ship(df.sparkSession)
 
@@ -58,9 +58,9 @@ def encode(df: DataFrame, column: str, make: Callable[[], Encoder], batch: int =
             got: list = []
             for i in range(0, len(s), batch):
                 got += model.encode(list(s.iloc[i : i + batch]))
-            yield pd.Series(got)
+            yield pd.Series([np.asarray(v, np.float64) / max(float(np.linalg.norm(v)), 1e-12) for v in got], dtype=object)
 
-    return df.withColumn("embedding", l2_normalize(run(F.col(column))).cast("array<float>"))
+    return df.withColumn("embedding", run(F.col(column)))
 
 
 def jaccard_scorer(queries: DataFrame, corpus: DataFrame) -> Scorer:
