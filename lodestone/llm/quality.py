@@ -86,7 +86,7 @@ class Trees:
         rows = np.arange(len(x))[:, None]
         for _ in range(depth):
             at = 2 * at + 1 + (x[rows, self.feature[trees, at]] > self.threshold[trees, at])
-        raw = self.base + (self.leaf[trees, at - (2**depth - 1)].sum(1) if depth else 0)
+        raw = np.full(len(x), self.base) + (self.leaf[trees, at - (2**depth - 1)].sum(1) if depth else 0)
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
