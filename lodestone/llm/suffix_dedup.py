@@ -66,19 +66,19 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     n = len(s)
     t = np.concatenate([s.astype(np.int64), np.zeros(4, np.int64)])
     key = (t[:n] << 45) | (t[1 : n + 1] << 30) | (t[2 : n + 2] << 15) | t[3 : n + 3]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     h = 4
     while h < depth:
         at = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(at):
             break
         suffix = order[at]
-        key = rank[suffix] * (n + 2) + rank[np.minimum(suffix + h, n)] + 1
+        key = rank[suffix].astype(np.int64) * (n + 2) + rank[np.minimum(suffix + h, n)] + 1
         o = np.argsort(key, kind="stable")
         suffix, key = suffix[o], key[o]
         order[at] = suffix
@@ -93,56 +93,37 @@ def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
     """For each suffix in order but the first: whether it shares ``width`` bytes or more with the one before it. Numbers below ``ends`` in the transform are ends of texts, each unique.
 
     Boundaries come by increasing common prefix. Suffixes r - 1 and r that begin with the same byte c lie at psi[r - 1] and psi[r]
-    without it; they get a boundary one level after the first one between those two. With few new boundaries on a level, each one's
-    interval is extended backward by the bytes in it, up to the next boundary; with many, all open neighbours look for one between them.
+    without it; they get a boundary one level after the first one between those two. Most lie side by side, and a new boundary between them goes
+    straight on to them. The others, fewer on every level, look for one between them.
     """
     n = len(bwt)
-    psi = np.argsort(bwt, kind="stable")
+    psi = np.argsort(bwt, kind="stable").astype(np.int32)
     first = bwt[psi]
-    low = np.searchsorted(first, np.arange(ends, int(bwt.max()) + 2))
-    blocks = [(a, b) for a, b in zip(low[:-1].tolist(), low[1:].tolist(), strict=True) if b - a > 1]
     parted = np.append(True, (first[1:] != first[:-1]) | (first[1:] < ends))
-    back = np.empty(n, np.int64)
-    back[psi] = np.arange(n)
-    fresh = np.flatnonzero(parted)
-    open_ = np.flatnonzero(~parted)
-    before, here = psi[open_ - 1], psi[open_]
-    stale = False
-    for _ in range(width - 1):
-        if not len(fresh) or not len(open_):
+    back = np.empty(n, np.int32)
+    back[psi] = np.arange(n, dtype=np.int32)
+    fresh = np.flatnonzero(parted).astype(np.int32)
+    r = np.flatnonzero(~parted).astype(np.int32)
+    r = r[psi[r] != psi[r - 1] + 1]
+    r = r[np.argsort(psi[r])]
+    wide, low, high = r, psi[r - 1], psi[r]  # by high
+    for _ in range(1, width):
+        if not len(fresh):
             break
-        if len(fresh) * 4 < len(open_):
-            found, from_, at = [], fresh, fresh
-            for _ in range(64):
-                r = back[at]
-                ok = ~parted[r]
-                r, low_end = r[ok], from_[ok]
-                found.append(r[psi[r - 1] < low_end])
-                at = at + 1
-                ok = at < n
-                from_, at = from_[ok], at[ok]
-                ok = ~parted[at]
-                from_, at = from_[ok], at[ok]
-                if not len(at):
-                    break
-            else:  # long intervals: for each byte, its first place from the boundary on
-                for x, y in blocks:
-                    r = x + np.searchsorted(psi[x:y], from_)
-                    r = r[(r > x) & (r < y)]
-                    found.append(r[~parted[r]])
-                found = [np.unique(np.concatenate(found))]
-            fresh = np.concatenate(found)
-            parted[fresh] = True
-            stale = True
-        else:
-            if stale:
-                keep = ~parted[open_]
-                open_, before, here, stale = open_[keep], before[keep], here[keep], False
-            upto = np.cumsum(parted, dtype=np.int32)
-            hit = upto[here] > upto[before]
-            fresh, keep = open_[hit], ~hit
-            open_, before, here = open_[keep], before[keep], here[keep]
-            parted[fresh] = True
+        r = back[fresh]
+        found = [r[~parted[r] & (psi[r - 1] == fresh - 1)]]
+        if len(wide):
+            if len(wide) * 16 < n:
+                new = np.sort(fresh)
+                hit = np.searchsorted(new, high, "right") > np.searchsorted(new, low, "right")
+            else:
+                upto = np.cumsum(parted, dtype=np.int32)
+                hit = upto[high] > upto[low]
+            found.append(wide[hit])
+            keep = ~hit
+            wide, low, high = wide[keep], low[keep], high[keep]
+        fresh = np.concatenate(found)
+        parted[fresh] = True
     return ~parted
 
 
@@ -166,8 +147,9 @@ def repeated_windows(texts: list[bytes], copies: list[int], width: int = WIDTH)
     repeated[order[same | np.append(same[1:], False)]] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[False], repeated]).astype(np.int8)))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for a, b in edges.reshape(-1, 2).tolist():  # an end of a text parts runs
-        t = int(np.searchsorted(starts, a, "right")) - 1
+    edges = edges.reshape(-1, 2)
+    which = np.searchsorted(starts, edges[:, 0], "right") - 1  # an end of a text parts runs
+    for t, a, b in zip(which.tolist(), edges[:, 0].tolist(), edges[:, 1].tolist(), strict=True):
         if t < len(texts):
             out[t].append((a - starts[t], b - 1 - starts[t]))
     return out
