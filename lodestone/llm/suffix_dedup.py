@@ -8,7 +8,8 @@ Every string of ``width`` bytes that starts at two places is found and all bytes
    repeat. Equal segments are one row with a number of copies.
 3. Segments that share a k-gram meet in one task, which builds the Burrows-Wheeler transform of some megabytes of them, and
    expands intervals breadth first by backward extension: the boundaries between suffixes with a common prefix of 0, 1, 2, ...
-   bytes, in this order, up to ``width`` - 1. Neighbours that no boundary parts then share ``width`` bytes or more.
+   bytes, in this order, up to ``width`` - 1. Neighbours that no boundary parts then share ``width`` bytes or more. A k-gram
+   whose segments are all copies of one needs no transform.
 4. A k-gram with more than ``cap`` different segments (a passage in a large part of all texts) would be too much for one task: the windows of
    its segments are counted by their 128-bit hashes instead, each window by itself.
 """
@@ -128,15 +129,14 @@ def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
 
 
 def repeated_windows(texts: list[bytes], copies: list[int], width: int = WIDTH) -> list[list[tuple[int, int]]]:
-    """For each text the runs (first, last) of windows that start anywhere else in these texts or are in a text with copies."""
-    parts, starts, ends, n = [], [], len(texts) + sum(c > 1 for c in copies), 0
+    """For each text the runs (first, last) of windows that start anywhere else in these texts; all windows of a text with copies do."""
+    parts, starts, ends, n = [], [], len(texts), 0
     if ends >= 1 << 14:
         raise ValueError("too many texts for one transform")
-    k = 0
-    for t in [*texts, *(t for t, c in zip(texts, copies, strict=True) if c > 1)]:
+    for k, t in enumerate(texts):
         starts.append(n)
         parts += [np.frombuffer(t, np.uint8).astype(np.int16) + ends, np.array([k], np.int16)]
-        n, k = n + len(t) + 1, k + 1
+        n += len(t) + 1
     if not n:
         return [[] for _ in texts]
     s = np.concatenate(parts)
@@ -150,9 +150,8 @@ def repeated_windows(texts: list[bytes], copies: list[int], width: int = WIDTH)
     edges = edges.reshape(-1, 2)
     which = np.searchsorted(starts, edges[:, 0], "right") - 1  # an end of a text parts runs
     for t, a, b in zip(which.tolist(), edges[:, 0].tolist(), edges[:, 1].tolist(), strict=True):
-        if t < len(texts):
-            out[t].append((a - starts[t], b - 1 - starts[t]))
-    return out
+        out[t].append((a - starts[t], b - 1 - starts[t]))
+    return [[(0, len(t) - width)] if c > 1 and len(t) >= width else runs for t, c, runs in zip(texts, copies, out, strict=True)]
 
 
 def _texts_with(t: DataFrame, lists: DataFrame, run, schema: str) -> DataFrame:
@@ -240,11 +239,11 @@ def _per_text(t: DataFrame, width: int, gram: int, cap: int, with_text: bool) ->
                     yield flush()
                     size = 0
                 held.append(row)
-                size, last = size + len(row[3]) * row[2], row[0]
+                size, last = size + len(row[3]), row[0]
         if held:
             yield flush()
 
-    few = F.col("kinds") <= cap
+    few = F.col("kinds").between(2, cap)
     bytes_ = _texts_with(t, lists(few), fetch, "key long, mark binary, n long, bytes binary")
     runs = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(expand, "key long, mark binary, runs array<struct<a:int,b:int>>")
 
@@ -257,8 +256,12 @@ def _per_text(t: DataFrame, width: int, gram: int, cap: int, with_text: bool) ->
                     n = len(one)
                     yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(n, x["key"])), pa.array([x["mark"]] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, x["n"]))], ["one", "two", "key", "mark", "a", "n"])
 
-    if reps.where(~few).limit(1).count():
-        each = stash(_texts_with(t, lists(~few), windows, "one long, two long, key long, mark binary, a int, n long"), "windows")
+    # all copies of one segment: nothing to compare
+    equal = reps.where("kinds = 1").select("key", "mark", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.last") - F.col("at.first")).alias("b"))).alias("runs"))
+    runs = runs.union(equal)
+    many = F.col("kinds") > cap
+    if reps.where(many).limit(1).count():
+        each = stash(_texts_with(t, lists(many), windows, "one long, two long, key long, mark binary, a int, n long"), "windows")
         twice = each.groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
         alone = each.join(twice, ["one", "two"]).groupBy("key", "mark").agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("runs"))
         runs = runs.union(alone)
