@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .components import connected_components
+from .set_join import similar_components
 from .shared import stash, table
 
 SEGMENTS = 32
@@ -105,47 +106,45 @@ def links(nodes: DataFrame, radius: int = 2, cell_cap: int = 64) -> DataFrame:
     return edges.union(mids.join(least, mid).where("node <> b").select(F.col("node").alias("a"), "b")).distinct()
 
 
-def shingle_set(text: Column, words: int) -> Column:
+def shingle_set(text: str, words: int) -> np.ndarray:
     """Hashes of the distinct shingles; the whole sequence if there are fewer words."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " ")), " ")
-    last = F.greatest(F.size(w) - words, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(words)))))
+    w = text.lower().encode("utf-8", "surrogatepass").split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))], np.uint64).view(np.int64))
 
 
-def near_copy_components(docs: DataFrame, words: int = 5, least: float = 0.8, views: int = 6, radius: int = 4, cell_cap: int = 64) -> DataFrame:
-    """(doc_id, component_id): documents linked by a Jaccard similarity of their sets of ``words``-word shingles of at least ``least``.
+def text_digest(text: Column) -> Column:
+    """16 bytes; a null text counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
-    Candidates are texts whose SimHash fingerprints over the set of their words differ in at most ``radius`` bits in any of ``views`` hash seeds; each
-    candidate pair is then checked exactly. A pair at the threshold differs in some 4 of 64 bits, so one view finds it about every second
-    time and six nearly always; a closer pair is found more surely. In a crowded cell a text is held against the first one at its midpoints
-    only. Equal texts are one node. Null ids get no row; null texts count as empty, and blank texts are linked.
+
+def near_copy_components(docs: DataFrame, words: int = 5, least: float = 0.8, cell_cap: int = 64) -> DataFrame:
+    """(doc_id, digest, component_id, kept): documents linked by a Jaccard similarity of their sets of ``words``-word shingles of at least ``least``.
+
+    All such pairs count (``set_join``). A row for each id with each of its texts, the text by its digest; texts are the nodes, so an id shared by
+    different texts links nothing. component_id is the smallest id of the component, null if none of its rows has an id. kept marks one row of each component:
+    that of the smallest id, null only if there is no other, and the least digest. Null texts count as empty, and blank texts are linked.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    ids = stash(rows.select("doc_id", digest.alias("digest")), "digests")
-    heads = stash(ids.groupBy("digest").agg(F.min("doc_id").alias("node")), "heads")
-    texts = rows.withColumn("digest", digest).join(heads.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"]).select(F.col("doc_id").alias("node"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
+    ids = stash(rows.select("doc_id", "digest").distinct(), "digests")
+    heads = stash(ids.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "heads")
+    own = heads.select(F.col("digest").alias("d"), "first", "node")
+    texts = rows.join(own, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["digest"]).select("node", "text")
+    texts = stash(texts, "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [b" ".join(sorted(set(x.encode("utf-8", "surrogatepass").lower().split()))) for x in batch.column(1).to_pylist()]
-            for v in range(views):
-                fps = np.array([fingerprint(x.decode("utf-8", "surrogatepass"), 1, 42 + v) for x in bags], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), v, np.int32)), batch.column(0), pa.array(fps.view(np.int64))], ["view", "node", "fp"])
-
-    prints = stash(texts.mapInArrow(run, "view int, node long, fp long"), "views")
-    firsts = stash(prints.groupBy("view", "fp").agg(F.min("node").alias("node")), "firsts")
-    same = prints.join(firsts.withColumnRenamed("node", "b"), ["view", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    pairs = links(firsts, radius, cell_cap).union(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = stash(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stash(texts.join(wanted, "node", "left_semi").select("node", shingle_set(F.col("text"), words).alias("s")), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    good = both.where(F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))).where(shared >= least * (F.size("x") + F.size("y") - shared))
-    found = connected_components(good.select("a", "b"))
-    by_text = heads.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return ids.join(by_text, "digest").select("doc_id", "component_id")
+            sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
+            ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["node", "s"])
+
+    ship(docs.sparkSession)
+    found = similar_components(texts, lambda t: t.select("node", "text").mapInArrow(run, "node long, s array<bigint>"), least, cell_cap)
+    by_text = stash(heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "by-text")
+    best = by_text.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("best"))
+    by_text = by_text.join(best, "component").select("digest", F.col("best.first").alias("component_id"), F.col("best.digest").alias("best"))
+    kept = (F.col("digest") == F.col("best")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return ids.join(by_text, "digest").select("doc_id", "digest", "component_id", kept.alias("kept"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, cell_cap: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

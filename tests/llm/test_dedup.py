@@ -88,6 +88,33 @@ def test_near_copies(spark):
     assert all(got[i] == i for i in range(30))
 
 
+def _alike(texts, words=5, least=0.8):
+    """Components of the ids of (doc_id, text) by brute force."""
+    sets = []
+    for d, t in texts:
+        w = t.lower().split()
+        sets.append((d, {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}))
+    return _groups([(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if 5 * len(x & y) >= 4 * len(x | y)], [d for d, _ in texts])
+
+
+def test_near_copies_in_crowded_cells(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for family in range(3):  # edits of edits of a template, of which many are alike only among themselves
+        made = [[word() for _ in range(100)]]
+        for _ in range(40):
+            w = list(rng.choice(made))
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = word()
+            made.append(w)
+        rows += [(100 * family + i, " ".join(w)) for i, w in enumerate(made)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), _alike(rows)
+    assert 3 < len(set(want.values())) < 100
+    for cap in (3, 64):
+        assert {r.doc_id: r.component_id for r in simhash.near_copy_components(df, cell_cap=cap).collect()} == want
+
+
 def _brute(texts, width):
     counts = collections.Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []
