@@ -115,6 +115,21 @@ def test_near_copies_in_crowded_cells(spark):
         assert {r.doc_id: r.component_id for r in simhash.near_copy_components(df, cell_cap=cap).collect()} == want
 
 
+def test_near_copies_of_every_kind_of_edit(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i in range(40):  # a block appended, a block cut, a short text with words added: just over and just under the threshold
+        n = rng.choice([12, 30, 200])
+        w = [word() for _ in range(n)]
+        more = round((n - 4) * rng.uniform(0.1, 0.3))
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + [word() for _ in range(more)])), (3 * i + 2, " ".join(w[more // 2 :]))]
+    want = _alike(rows)
+    assert 40 < len(set(want.values())) < 120
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def _brute(texts, width):
     counts = collections.Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []
