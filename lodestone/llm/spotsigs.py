@@ -1,8 +1,8 @@
 """SpotSigs document fingerprints, in DataFrame operations only.
 
 A spot is a common word (a listed one, or any of at most three letters); its signature is the spot with the next content words
-after it. A fingerprint holds the number of a document's distinct signatures and the smallest of their hashes, in order; it is
-the whole set if there are few. Sets are compared by Jaccard similarity, which their lengths bound from above.
+after it. A fingerprint holds the number of a document's distinct signatures, the smallest of their hashes in order, and a hash of the whole set
+if there are more. Whole sets are compared by Jaccard similarity, which their lengths bound from above.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ MOST = 512
 
 
 def _sets(docs: DataFrame, text: str, to: str, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
-    """Adds a sketch of the distinct signatures (hashes of 48 bits). A text without one has those of its words, a text without words that of itself."""
+    """Adds the sorted set of the distinct signatures (hashes of 48 bits). A text without one has those of its words, a text without words that of itself."""
     w = words(F.col(text))
     marked = F.transform(w, lambda t: F.shiftleft(F.xxhash64(t), 1).bitwiseOR(F.when((F.length(t) <= 3) | t.isin(SPOTS), 0).otherwise(1)))
     docs = docs.withColumn("_w", marked)  # even: a spot; odd: a content word
@@ -38,28 +38,24 @@ def _sets(docs: DataFrame, text: str, to: str, chain: int = CHAIN, reach: int =
     sigs = F.array_distinct(F.filter(F.transform(spots, at), lambda x: x.isNotNull()))
     docs = docs.withColumn("_s", sigs)
     alone = F.when(F.size("_w") > 0, F.array_distinct(F.transform(F.col("_w"), lambda x: F.shiftrightunsigned(F.xxhash64(x), 16)))).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 16)))
-    return docs.withColumn("_s", F.when(F.size("_s") > 0, F.col("_s")).otherwise(alone)).withColumn(to, F.struct(F.size("_s").alias("n"), F.slice(F.array_sort("_s"), 1, KEEP).alias("low"))).drop("_w", "_s")
+    return docs.withColumn("_s", F.when(F.size("_s") > 0, F.col("_s")).otherwise(alone)).withColumn(to, F.array_sort("_s")).drop("_w", "_s")
 
 
-def fingerprint(sketch: Column) -> Column:
-    """The number of signatures and the hashes kept, in hex."""
-    return F.concat_ws(":", F.lower(F.hex(sketch["n"])), F.concat_ws("", F.transform(sketch["low"], lambda x: F.lpad(F.lower(F.hex(x)), 12, "0"))))
+def fingerprint(sigs: Column) -> Column:
+    """The number of signatures, the least hashes, and for more than those a hash of them all, in hex."""
+    low = F.concat_ws("", F.transform(F.slice(sigs, 1, KEEP), lambda x: F.lpad(F.lower(F.hex(x)), 12, "0")))
+    return F.concat_ws(":", F.lower(F.hex(F.size(sigs))), low, F.when(F.size(sigs) > KEEP, F.lpad(F.lower(F.hex(F.xxhash64(sigs))), 16, "0")))
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """The Jaccard similarity of two sketches: exact if both sets are kept whole, else estimated from the smallest hashes of their union.
-
-    Pruned: 0 if the lengths alone rule out ``least``.
-    """
-    low = F.slice(F.array_sort(F.array_union(a["low"], b["low"])), 1, KEEP)
-    both = F.size(F.array_intersect(low, F.array_intersect(a["low"], b["low"])))
-    bound = F.least(a["n"], b["n"]) / F.greatest(a["n"], b["n"])
-    return F.when(bound < least, F.lit(0.0)).when((a["n"] == b["n"]) & (a["low"] == b["low"]), F.lit(1.0)).otherwise(both / F.size(low))
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two sets."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(a == b, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with a column ``sketch`` (n, low). A null text counts as empty; equal texts have equal sketches."""
-    return _sets(docs, text_col, "sketch")
+    """The rows with a column ``sigs``. A null text counts as empty; equal texts have equal signatures."""
+    return _sets(docs, text_col, "sigs")
 
 
 def _in_ranges(docs: DataFrame) -> DataFrame:
@@ -91,12 +87,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = fingerprints(_in_ranges(rows))
     order = Window.partitionBy("range").orderBy("extra", "key", "text")
-    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where("extra = 0")
+    rows = rows.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("extra = 0")
     n = F.char_length("text").cast("long")
     cut = F.floor(n / 4)
     edited = F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring(F.col("next.text"), F.lit(1), cut.cast("int")))
-    rows = _sets(rows.select("doc_id", n.alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited")), "edited", "edited_sketch")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    rows = _sets(rows.select("doc_id", n.alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"), edited.alias("edited")), "edited", "edited_sigs")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

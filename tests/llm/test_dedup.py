@@ -202,3 +202,16 @@ def test_spotsigs(spark):
     assert min(r.near_edited for r in long) > max(r.near_next for r in long)
     assert len({r.fingerprint for r in got if r.n_chars == 0}) == 1
     assert spotsigs.edited_fingerprints(df.limit(0)).count() == 0 and spotsigs.edited_fingerprints(df.where("doc_id = 3")).first().near_next == 1.0
+
+
+def test_spotsigs_of_long_texts(spark):
+    rng = random.Random(13)
+    content = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(4000)]
+    w = [x for c in content for x in ("the", c)]  # some 4000 signatures
+    swapped = list(w)
+    swapped[4001] = "unlikeanyother"
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(swapped))], "doc_id long, text string")
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(df).collect()}
+    assert got[1].fingerprint != got[2].fingerprint
+    sets = [{(a[i + 1], a[i + 3] if i + 3 < len(a) else "") for i in range(0, len(a), 2)} for a in (w, swapped)]
+    assert abs(got[1].near_next - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-12 and got[1].near_next < 1
