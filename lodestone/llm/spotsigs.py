@@ -1,4 +1,4 @@
-"""SpotSigs document fingerprints, in DataFrame operations only.
+"""SpotSigs document fingerprints, in DataFrame operations only, and classes of similar documents.
 
 A spot is a common word (a listed one, or any of at most three letters); its signature is the spot with the next content words
 after it. A fingerprint holds the number of a document's distinct signatures, the smallest of their hashes in order, and a hash of the whole set
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .set_join import similar_components
+from .shared import stash, table
 from .words import words
 
 #: Common words of more than three letters in English, French, German and Spanish; shorter words are common ones anyway.
@@ -58,6 +59,23 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _sets(docs, text_col, "sigs")
 
 
+def similar_classes(docs: DataFrame, least: float = 0.8, cell_cap: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id) per row: documents joined by a chain of Jaccard similarities of their signature sets of at least ``least``.
+
+    The sets are matched by ``set_join``: in an inverted index of their rarer signatures, only where the ratio of their lengths allows ``least``.
+    class_id is the smallest id of the class; rows without an id take part, and have null if the whole class is without.
+    """
+    rows = fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
+    key = F.struct(F.size("sigs"), F.xxhash64("sigs"), F.xxhash64(F.lit(1), "sigs"))
+    rows = stash(rows.withColumn("key", key), "signatures")
+    heads = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("sigs").alias("s")).withColumn("node", F.monotonically_increasing_id())
+    heads = stash(heads, "heads")
+    found = similar_components(heads.select("node", "s"), lambda t: t.select("node", "s"), least, cell_cap)
+    by_set = stash(heads.join(found, "node", "left").select("key", "first", F.coalesce("component", "node").alias("component")), "by-set")
+    classes = by_set.groupBy("component").agg(F.min("first").alias("class_id"))
+    return rows.join(by_set.join(classes, "component").select("key", "class_id"), "key").select("doc_id", "class_id")
+
+
 def _in_ranges(docs: DataFrame) -> DataFrame:
     """Rows (key, text, ...) dealt to ranges of the key (column range), with the first rows of each range repeated behind the range before it, and those of the
     first one behind the last (column extra: 0, else 1, 2)."""

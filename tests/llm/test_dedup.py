@@ -215,3 +215,25 @@ def test_spotsigs_of_long_texts(spark):
     assert got[1].fingerprint != got[2].fingerprint
     sets = [{(a[i + 1], a[i + 3] if i + 3 < len(a) else "") for i in range(0, len(a), 2)} for a in (w, swapped)]
     assert abs(got[1].near_next - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-12 and got[1].near_next < 1
+
+
+def test_spotsigs_classes(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for family in range(4):
+        made = [[word() for _ in range(60)]]
+        for _ in range(20):
+            a = list(rng.choice(made))
+            for _ in range(rng.randint(1, 4)):
+                a[rng.randrange(len(a))] = word()
+            made.append(a[: rng.randint(50, 60)])
+        rows += [(7 * i + family, " ".join(f"the {x}" for x in a)) for i, a in enumerate(made)]
+    rows += [(1000, None), (1001, ""), (None, rows[3][1])]
+    named = [(d, [x for x in t.split() if x != "the"]) for d, t in rows if t and d is not None]
+    sets = [(d, {tuple(a[i : i + 2]) for i in range(len(a))}) for d, a in named]
+    want = _groups([(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if 5 * len(x & y) >= 4 * len(x | y)], [d for d, _ in named])
+    assert 4 < len(set(want.values())) < 70
+    for cap in (3, 64):
+        got = {r.doc_id: r.class_id for r in spotsigs.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), cell_cap=cap).collect()}
+        assert got == want | {1000: 1000, 1001: 1000, None: want[rows[3][0]]}
