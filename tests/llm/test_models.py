@@ -31,6 +31,21 @@ def test_language_edges(spark):
 
 
 @needs_data
+def test_stages_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (0, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2].upper()), (None, texts[3]), (2, texts[4])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], kinds)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    got = sorted((str(r.doc_id), r.text.lower()) for r in kept.collect())
+    assert got == sorted([("0", texts[0]), ("1", texts[1]), ("None", texts[2]), ("None", texts[3]), ("2", texts[4])])
+    more = spark.createDataFrame([(1, texts[0], "en", "s", 9), (1, texts[1], "en", "s", 9), (None, texts[2], "en", "s", 9)], kinds)
+    assert corpus_pipeline.drop_repeats(spark, more, "").count() == 3
+
+
 def test_quality(spark):
     got = quality.op3_quality(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out")
     right, n = got.agg(F.count_if(F.col("predicted") == F.col("quality")), F.count("*")).first()
