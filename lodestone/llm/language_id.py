@@ -118,20 +118,32 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(kin, np.array(ws, np.float32).reshape(-1, DIM).T, np.array(bs), machines)
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 1000, longest: int = 10_000, most_langs: int = 32) -> Model | None:
-    """Learn from text and lang of rows outside the held-out fold: at most ``per_lang`` rows for each of the ``most_langs`` most
-    frequent languages, of texts of at most ``longest`` characters. None if there is no such row."""
+def train(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 1000, longest: int = 10_000) -> Model | None:
+    """Learn every language from text and lang of rows outside the held-out fold, of texts with a letter: at most ``per_lang`` rows for each, of
+    texts of at most ``longest`` characters where the language has any, else of longer ones. None if there is no such row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    rows = rows.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held) & F.length("text").between(1, longest))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    if not langs:
-        return None
-    picked = sample_ids(rows.where(F.col("lang").isin(langs)), "lang", per_lang).select("doc_id").distinct()
-    got = rows.join(F.broadcast(picked), "doc_id").where(F.col("lang").isin(langs)).collect()  # at most per_lang * most_langs ids
+    rows = rows.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held) & F.col("text").rlike(r"\p{L}"))
+    short = F.length("text") <= longest
+    long_only = [r.lang for r in rows.groupBy("lang").agg(F.max(short).alias("short")).where("not short").collect()]  # a row per language
+    rows = rows.where(short | F.col("lang").isin(long_only))
+    picked = sample_ids(rows, "lang", per_lang).distinct()
+    got = rows.join(F.broadcast(picked), ["doc_id", "lang"]).collect()  # at most per_lang ids a language
     got = sorted((r for r in got if has_letter(r.text)), key=lambda r: (r.doc_id, r.lang, r.text))
     return fit([r.text for r in got], [r.lang for r in got]) if got else None
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t) and has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with lang_pred and score; ``und`` and 0 if text is null, has no letter, or there is no model."""
     ship(docs.sparkSession)

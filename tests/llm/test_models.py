@@ -31,10 +31,21 @@ def test_language_edges(spark):
 
 
 @needs_data
+def test_every_language_is_learned(spark):
+    rows = [(200 * k + i, f"l{k:02d}", f"{chr(97 + k % 26)}{chr(97 + k // 26)}qx " * 20) for k in range(33) for i in range(33 - k + 5)]
+    rows += [(9000 + i, "zz", "zhuzhu wowo " * 1000) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.train(docs)
+    assert {m for members in model.families.values() for m in members} == {r[1] for r in rows}
+    assert model.predict("zhuzhu wowo")[0] == "zz" and model.predict(rows[-50][2])[0] == rows[-50][1]
+
+
 def test_stages_of_the_pipeline(spark):
     import corpus_pipeline
 
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 …", None, "s", 4), (3, None, None, "s", 0), (None, "é", None, "s", 1)], kinds)
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == ["1", "None"]
     texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (0, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2].upper()), (None, texts[3]), (2, texts[4])]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], kinds)
