@@ -51,7 +51,7 @@ def test_queries(captions: DataFrame, n: int = 25, seed: int = 2025) -> DataFram
     ordered = F.sort_array(F.collect_list(F.struct("row_pos", "caption")))
     per = captions.where("caption is not null").groupBy("image_name").agg(ordered.alias("p"))
     picked = hash_sample(per, "image_name", n, seed)
-    return picked.select(F.col("p")[0]["caption"].alias("query"), F.col("image_name").alias("ground_truth"), F.slice(F.col("p.caption"), 2, 1_000_000).alias("alternatives"))
+    return picked.select(F.col("p")[0]["caption"].alias("query"), F.col("image_name").alias("ground_truth"), F.slice(F.col("p.caption"), F.lit(2), F.size("p")).alias("alternatives"))
 
 
 def every_nth(df: DataFrame, order: str, n_samples: int) -> DataFrame:

@@ -91,9 +91,16 @@ def top_k(scored: DataFrame, k: int, ascending: bool = False) -> DataFrame:
 
 
 def knn_join_sql(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """The same by expressions alone, for a few queries (given vectors are used as they are); a check on knn_join."""
+    """The same by expressions alone (given vectors are used as they are), which makes a row per pair; a check on knn_join."""
     near: Column = dot(F.col("q"), F.col("embedding")) if metric == "cosine" else squared_l2(F.col("q"), F.col("embedding"))
-    pairs = corpus.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")).limit(1000)))
+    rows = queries.select("query_id", F.col("embedding").alias("q"))
+    size = rows.agg(F.count("*"), F.max(F.size("q"))).first()
+    blocks = max(1, -(-size[0] * max(size[1] or 1, 1) // BLOCK))
+    pairs = None
+    for b in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        one = corpus.crossJoin(F.broadcast(part))  # a block of bounded size
+        pairs = one if pairs is None else pairs.union(one)
     return top_k(pairs.select("query_id", "id", F.round(near, DIGITS).alias("score")), k, metric != "cosine")
 
 

@@ -69,3 +69,13 @@ def test_text(spark):
     assert [r[0] for r in df.select(ft.tokens(F.col("t"))).collect()] == [["a", "bc", "d"], [], []]
     p = spark.range(1).select(ft.yes_probability(F.array(F.lit(1.0)), F.array(F.lit(1.0))).alias("a"), ft.yes_probability(F.lit(None).cast("array<double>"), F.array(F.lit(1.0))).alias("b")).first()
     assert p.a == 0.5 and p.b is None
+
+
+def test_knn_sql_takes_all_queries(spark):
+    q = spark.range(1500).selectExpr("id AS query_id", "array(1D, CAST(id AS double)) AS embedding")
+    x = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id long, embedding array<double>")
+    for block in (100, knn.BLOCK):
+        knn.BLOCK, held = block, knn.BLOCK
+        got = knn.knn_join_sql(q, x, 1).collect()
+        knn.BLOCK = held
+        assert sorted(r.query_id for r in got) == list(range(1500)) and all(r.id == (r.query_id > 1) or r.query_id == 1 for r in got)
