@@ -103,7 +103,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = fingerprints(_in_ranges(rows))
+    rows = fingerprints(_in_ranges(rows).repartition("range"))  # dealt before the sets are made: these aren't shuffled
     order = Window.partitionBy("range").orderBy("extra", "key", "text")
     rows = rows.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("extra = 0")
     n = F.char_length("text").cast("long")
