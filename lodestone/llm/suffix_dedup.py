@@ -1,15 +1,17 @@
 """Removal of repeated passages by threshold-bounded interval expansion over Burrows-Wheeler transforms.
 
-Every string of ``width`` bytes that starts at two places is found and all bytes it covers are removed.
+Every string of ``width`` bytes that starts at two places is found and all bytes it covers are removed. The bytes that strings of a
+smaller width (``passage``) cover can be counted in the same run.
 
 1. Equal texts are one row with a number of copies.
-2. Windows of ``width`` bytes are dealt out by content: each belongs to the k-gram in it with the least hash, so equal windows have
+2. Windows of the smaller width are dealt out by content: each belongs to the k-gram in it with the least hash, so equal windows have
    equal k-grams at equal places. Windows in a row with the same k-gram are a segment; a segment whose k-gram is nowhere else holds no
-   repeat. Equal segments are one row with a number of copies.
+   repeat. A segment's bytes reach ``width`` bytes beyond its last window's start, so that the longer strings with these starts lie in it
+   too. Equal segments are one row with a number of copies.
 3. Segments that share a k-gram meet in one task, which builds the Burrows-Wheeler transform of some megabytes of them, and
    expands intervals breadth first by backward extension: the boundaries between suffixes with a common prefix of 0, 1, 2, ...
-   bytes, in this order, up to ``width`` - 1. Neighbours that no boundary parts then share ``width`` bytes or more. A k-gram
-   whose segments are all copies of one needs no transform.
+   bytes, in this order, up to ``width`` - 1. Suffixes that no boundary parts then share ``width`` bytes or more; those not parted
+   on the way at ``passage`` - 1 share so many. A k-gram whose segments are all copies of one needs no transform.
 4. A k-gram with more than ``cap`` different segments (a passage in a large part of all texts) would be too much for one task: the windows of
    its segments are counted by their 128-bit hashes instead, each window by itself.
 """
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stash, table
+from .shared import discard, stash, table
 
 WIDTH, GRAM, CAP = 400, 128, 2000
+#: Width and k-gram that find repeated passages of 50 words, of which most take 250 to 350 bytes.
+PASSAGE, PASSAGE_GRAM = 240, 64
 #: Bytes of segments in one transform, but for a single k-gram's, and windows of a text that are dealt out at once.
 CHUNK, SPAN = 2 << 20, 1 << 19
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -90,8 +94,9 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
-    """For each suffix in order but the first: whether it shares ``width`` bytes or more with the one before it. Numbers below ``ends`` in the transform are ends of texts, each unique.
+def long_neighbours(bwt: np.ndarray, ends: int, widths: list[int]) -> list[np.ndarray]:
+    """For each of ``widths`` (ascending) and each suffix in order: whether it shares less than that with the one before it. Numbers below ``ends`` in the
+    transform are ends of texts, each unique.
 
     Boundaries come by increasing common prefix. Suffixes r - 1 and r that begin with the same byte c lie at psi[r - 1] and psi[r]
     without it; they get a boundary one level after the first one between those two. Most lie side by side, and a new boundary between them goes
@@ -108,8 +113,11 @@ def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
     r = r[psi[r] != psi[r - 1] + 1]
     r = r[np.argsort(psi[r])]
     wide, low, high = r, psi[r - 1], psi[r]  # by high
-    for _ in range(1, width):
-        if not len(fresh):
+    out = []
+    for level in range(1, widths[-1] + 1):
+        if level in widths:
+            out.append(parted.copy())
+        if level == widths[-1] or not len(fresh):
             break
         r = back[fresh]
         found = [r[~parted[r] & (psi[r - 1] == fresh - 1)]]
@@ -125,11 +133,12 @@ def long_neighbours(bwt: np.ndarray, ends: int, width: int) -> np.ndarray:
             wide, low, high = wide[keep], low[keep], high[keep]
         fresh = np.concatenate(found)
         parted[fresh] = True
-    return ~parted
+    return out + [parted] * (len(widths) - len(out))
 
 
-def repeated_windows(texts: list[bytes], copies: list[int], width: int = WIDTH) -> list[list[tuple[int, int]]]:
-    """For each text the runs (first, last) of windows that start anywhere else in these texts; all windows of a text with copies do."""
+def repeated_windows(texts: list[bytes], windows: list[int], copies: list[int], widths: list[int]) -> list[list[tuple[int, int, int]]]:
+    """For each text runs (first, last, k): its windows of widths[k] bytes that start anywhere else among the first ``windows`` places of these texts, its
+    own included. Only those places are judged; all windows of a text with copies are repeated."""
     parts, starts, ends, n = [], [], len(texts), 0
     if ends >= 1 << 14:
         raise ValueError("too many texts for one transform")
@@ -140,30 +149,61 @@ def repeated_windows(texts: list[bytes], copies: list[int], width: int = WIDTH)
     if not n:
         return [[] for _ in texts]
     s = np.concatenate(parts)
-    order = suffix_order(s, width)
-    same = long_neighbours(s[order - 1], ends, width)
+    judged = np.zeros(n, bool)
+    for a, m in zip(starts, windows, strict=True):
+        judged[a : a + m] = True
+    order = suffix_order(s, widths[-1])
+    parted = long_neighbours(s[order - 1], ends, widths)
     del s
-    repeated = np.zeros(n + 1, bool)
-    repeated[order[same | np.append(same[1:], False)]] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], repeated]).astype(np.int8)))
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    edges = edges.reshape(-1, 2)
-    which = np.searchsorted(starts, edges[:, 0], "right") - 1  # an end of a text parts runs
-    for t, a, b in zip(which.tolist(), edges[:, 0].tolist(), edges[:, 1].tolist(), strict=True):
-        out[t].append((a - starts[t], b - 1 - starts[t]))
-    return [[(0, len(t) - width)] if c > 1 and len(t) >= width else runs for t, c, runs in zip(texts, copies, out, strict=True)]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    mine = judged[order]
+    for k, cut in enumerate(parted):
+        group = np.cumsum(cut) - 1
+        often = np.bincount(group, mine, group[-1] + 1)[group] > 1
+        repeated = np.zeros(n + 1, bool)
+        repeated[order[often & mine]] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], repeated]).astype(np.int8))).reshape(-1, 2)
+        which = np.searchsorted(starts, edges[:, 0], "right") - 1  # an end of a text parts runs
+        for t, a, b in zip(which.tolist(), edges[:, 0].tolist(), edges[:, 1].tolist(), strict=True):
+            out[t].append((a - starts[t], b - 1 - starts[t], k))
+    lasts = [[(0, min(m, len(t) - w + 1) - 1, k) for k, w in enumerate(widths)] for t, m in zip(texts, windows, strict=True)]
+    return [[x for x in last if x[1] >= 0] if c > 1 else runs for last, c, runs in zip(lasts, copies, out, strict=True)]
+
+
+RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int8())]))
+RUNS_SQL = "array<struct<a:int,b:int,k:tinyint>>"
 
 
 def _texts_with(t: DataFrame, lists: DataFrame, run, schema: str) -> DataFrame:
     return t.join(lists, "digest").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept: the remaining text, without the pieces of characters that were cut.
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def _spans(cuts: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal runs covered by (start, end) pairs."""
+    spans: list[list[int]] = []
+    for a, b in sorted(cuts):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    return spans
+
 
-    A null text counts as empty. Texts shorter than ``width`` lose nothing. Rows are judged on the input: a text that another row repeats loses all that is covered, in both rows.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, passage: int | None = None) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept: the remaining text, without the pieces of
+    characters that were cut. With ``passage`` (at most ``width``, above ``gram``) also n_repeated: the bytes covered by strings of that many bytes that start
+    elsewhere too; these aren't removed.
+
+    A null text counts as empty. Texts shorter than ``width`` lose nothing. Rows are judged on the input: a text that another row repeats loses all that is
+    covered, in both rows. Null and repeated ids: each row is judged by itself.
     """
     spark = docs.sparkSession
+    widths = [passage, width] if passage and passage < width else [width]
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     digest = F.substring(F.unhex(F.sha2(raw, 256)), 1, 16)
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest")), "rows")
@@ -172,18 +212,20 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cap: i
     # bucketed by digest: read again and again, never dealt out again
     texts.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest").saveAsTable(name)
     try:
-        done = stash(_per_text(spark.table(name), width, gram, cap, with_text), "repeats")
+        done = _per_text(spark.table(name), widths, gram, cap, with_text)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return rows.join(done, "digest").drop("digest")
+    return rows.join(done if passage else done.drop("n_repeated"), "digest").drop("digest")
+
 
+def _per_text(t: DataFrame, widths: list[int], gram: int, cap: int, with_text: bool) -> DataFrame:
+    least, width = widths[0], widths[-1]
 
-def _per_text(t: DataFrame, width: int, gram: int, cap: int, with_text: bool) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, cols = [], ([], [], [])
             for i, raw in enumerate(batch.column(1)):
-                for got in segments(np.frombuffer(raw.as_buffer(), np.uint8), width, gram):
+                for got in segments(np.frombuffer(raw.as_buffer(), np.uint8), least, gram):
                     which.append(np.full(len(got[0]), i))
                     for c, x in zip(cols, got, strict=True):
                         c.append(x)
@@ -192,46 +234,50 @@ def _per_text(t: DataFrame, width: int, gram: int, cap: int, with_text: bool) ->
                 key, first, last = map(np.concatenate, cols)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(key), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["digest", "copies", "key", "first", "last"])
 
-    long = t.where(F.octet_length("raw") >= width)
+    long = t.where(F.octet_length("raw") >= least)
     parts = stash(long.mapInArrow(cut, "digest binary, copies long, key long, first int, last int"), "segments")
-    shared = parts.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key")
+    # counts by key are tables of their own: a join with a key that many segments have can then be split
+    shared = stash(parts.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key"), "shared-keys")
     wanted = parts.join(shared, "key", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("key", "first", "last")).alias("list"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
+                raw = row["raw"]
                 for x in row["list"]:
-                    d = hashlib.blake2b(row["raw"][x["first"] : x["last"] + width], digest_size=16).digest()
-                    out.append((x["key"], d, row["digest"], row["copies"], x["first"], x["last"]))
+                    n = x["last"] - x["first"] + 1
+                    d = hashlib.blake2b(raw[x["first"] : x["last"] + width] + n.to_bytes(4, "little"), digest_size=16).digest()
+                    out.append((x["key"], d, row["digest"], row["copies"], x["first"], n, min(x["first"] + n, len(raw) - width + 1) - x["first"]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "mark", "digest", "copies", "first", "last"])
+                yield _batch(out, [("key", pa.int64()), ("mark", pa.binary()), ("digest", pa.binary()), ("copies", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("n_wide", pa.int32())])
 
-    marked = stash(_texts_with(t, wanted, mark, "key long, mark binary, digest binary, copies long, first int, last int"), "marked")
-    reps = marked.groupBy("key", "mark").agg(F.sum("copies").alias("n"), F.min(F.struct("digest", "first", "last")).alias("at"))
-    reps = stash(reps, "representatives")
-    per_key = reps.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"))
-    reps = stash(reps.join(per_key.where("total > 1"), "key"), "sized")
-    listed = F.collect_list(F.struct("key", "mark", F.least("n", F.lit(2)).alias("n"), "at.first", "at.last")).alias("list")
+    marked = stash(_texts_with(t, wanted, mark, "key long, mark binary, digest binary, copies long, first int, n int, n_wide int"), "marked")
+    discard(parts, shared)
+    reps = stash(marked.groupBy("key", "mark").agg(F.sum("copies").alias("copies"), F.min(F.struct("digest", "first", "n", "n_wide")).alias("at")), "representatives")
+    per_key = stash(reps.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1").select("key", "kinds"), "keys")
+    sized = stash(reps.join(per_key, "key"), "sized")
+    discard(reps, per_key)
+    listed = F.collect_list(F.struct("key", "mark", F.least("copies", F.lit(2)).alias("copies"), "at.first", "at.n")).alias("list")
 
     def lists(which: Column) -> DataFrame:
-        return reps.where(which).groupBy("at.digest").agg(listed)
+        return sized.where(which).groupBy("at.digest").agg(listed)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(x["key"], x["mark"], x["n"], row["raw"][x["first"] : x["last"] + width]) for row in batch.to_pylist() for x in row["list"]]
+            out = [(x["key"], x["mark"], x["copies"], x["n"], row["raw"][x["first"] : x["first"] + x["n"] - 1 + width]) for row in batch.to_pylist() for x in row["list"]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["key", "mark", "n", "bytes"])
+                yield _batch(out, [("key", pa.int64()), ("mark", pa.binary()), ("copies", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            found = repeated_windows([x[3] for x in held], [x[2] for x in held], width)
-            out = [{"key": x[0], "mark": x[1], "runs": [{"a": a, "b": b} for a, b in f]} for x, f in zip(held, found, strict=True) if f]
+            found = repeated_windows([x[4] for x in held], [x[3] for x in held], [x[2] for x in held], widths)
+            out = [(x[0], x[1], [{"a": a, "b": b, "k": k} for a, b, k in f]) for x, f in zip(held, found, strict=True) if f]
             held.clear()
-            return pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("mark", pa.binary()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
+            return _batch(out, [("key", pa.int64()), ("mark", pa.binary()), ("runs", RUNS)])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -239,33 +285,36 @@ def _per_text(t: DataFrame, width: int, gram: int, cap: int, with_text: bool) ->
                     yield flush()
                     size = 0
                 held.append(row)
-                size, last = size + len(row[3]), row[0]
+                size, last = size + len(row[4]), row[0]
         if held:
             yield flush()
 
     few = F.col("kinds").between(2, cap)
-    bytes_ = _texts_with(t, lists(few), fetch, "key long, mark binary, n long, bytes binary")
-    runs = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(expand, "key long, mark binary, runs array<struct<a:int,b:int>>")
+    bytes_ = _texts_with(t, lists(few), fetch, "key long, mark binary, copies long, n int, bytes binary")
+    runs = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(expand, f"key long, mark binary, runs {RUNS_SQL}")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 for x in row["list"]:
-                    b = np.frombuffer(row["raw"], np.uint8)[x["first"] : x["last"] + width]
-                    one, two = gram_hashes(b, width, 1).view(np.int64), gram_hashes(b[::-1], width, 77)[::-1].view(np.int64)
-                    n = len(one)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(n, x["key"])), pa.array([x["mark"]] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, x["n"]))], ["one", "two", "key", "mark", "a", "n"])
+                    b = np.frombuffer(row["raw"], np.uint8)[x["first"] : x["first"] + x["n"] - 1 + width]
+                    for k, w in enumerate(widths):
+                        n = min(x["n"], len(b) - w + 1)
+                        if n > 0:
+                            one, two = gram_hashes(b, w, 1 + k).view(np.int64)[:n], gram_hashes(b[::-1], w, 77 + k)[::-1].view(np.int64)[:n]
+                            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(n, k, np.int8)), pa.array(np.full(n, x["key"])), pa.array([x["mark"]] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, x["copies"]))], ["one", "two", "k", "key", "mark", "a", "copies"])
 
     # all copies of one segment: nothing to compare
-    equal = reps.where("kinds = 1").select("key", "mark", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.last") - F.col("at.first")).alias("b"))).alias("runs"))
-    runs = runs.union(equal)
-    many = F.col("kinds") > cap
-    if reps.where(many).limit(1).count():
-        each = stash(_texts_with(t, lists(many), windows, "one long, two long, key long, mark binary, a int, n long"), "windows")
-        twice = each.groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-        alone = each.join(twice, ["one", "two"]).groupBy("key", "mark").agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("runs"))
+    whole = F.array(*[F.struct(F.lit(0).alias("a"), (F.col("at.n_wide" if w == width else "at.n") - 1).alias("b"), F.lit(k).cast("tinyint").alias("k")) for k, w in enumerate(widths)])
+    runs = runs.union(sized.where("kinds = 1").select("key", "mark", F.filter(whole, lambda x: x["b"] >= 0).alias("runs")))
+    many, each = F.col("kinds") > cap, None
+    if sized.where(many).limit(1).count():
+        each = stash(_texts_with(t, lists(many), windows, "one long, two long, k tinyint, key long, mark binary, a int, copies long"), "windows")
+        twice = each.groupBy("one", "two", "k").agg(F.sum("copies").alias("m")).where("m > 1").drop("m")
+        alone = each.join(twice, ["one", "two", "k"]).groupBy("key", "mark").agg(F.collect_list(F.struct("a", F.col("a").alias("b"), "k")).alias("runs"))
         runs = runs.union(alone)
-
+    runs = stash(runs, "runs")
+    discard(sized, *([each] if each else []))
     spots = marked.select("key", "mark", "digest", "first").join(runs, ["key", "mark"]).groupBy("digest").agg(F.collect_list(F.struct("first", "runs")).alias("list"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,21 +322,18 @@ def _per_text(t: DataFrame, width: int, gram: int, cap: int, with_text: bool) ->
             out = []
             for row in batch.to_pylist():
                 raw = row["raw"]
-                cuts = sorted((x["first"] + r["a"], x["first"] + r["b"] + width) for x in row["list"] or [] for r in x["runs"])
-                spans: list[list[int]] = []
-                for a, b in cuts:
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
-                ends = [0, *(b for _, b in spans)]
-                kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True))
-                one = {"digest": row["digest"], "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest()}
-                out.append(one | ({"kept": kept.decode("utf-8", "ignore")} if with_text else {}))
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text))
-
-    return t.join(spots, "digest", "left").mapInArrow(finish, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+                cuts = [_spans([(x["first"] + r["a"], x["first"] + r["b"] + w) for x in row["list"] or [] for r in x["runs"] if r["k"] == k]) for k, w in enumerate(widths)]
+                ends = [0, *(b for _, b in cuts[-1])]
+                kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in cuts[-1]), len(raw)], strict=True))
+                out.append((row["digest"], len(raw), len(raw) - len(kept), len(cuts[-1]), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in cuts[0]), kept.decode("utf-8", "ignore"))[: 6 + with_text])
+            yield _batch(out, [("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64()), ("kept", pa.string())][: 6 + with_text])
+
+    done = t.join(spots, "digest", "left").mapInArrow(finish, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept string" * with_text)
+    done = stash(done, "repeats")
+    discard(marked, runs)
+    return done
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """The contract's columns at 400 bytes, and beside them n_repeated: what passages of 240 bytes (some 50 words) or more cover."""
+    return remove_repeats(table(spark, sf_dir, "documents"), WIDTH, PASSAGE_GRAM, passage=PASSAGE)

@@ -147,13 +147,17 @@ def test_repeated_windows():
     rng = random.Random(3)
     for trial in range(60):
         width = rng.choice([3, 5, 8, 20])
+        widths = sorted({rng.randint(2, width), width})
         base = [bytes(rng.choice(b"ab" if trial % 2 else b"abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(6)]
         texts = [rng.choice(base)[rng.randint(0, 20) :] + rng.choice(base) for _ in range(8)]
         copies = [rng.choice([1, 1, 2]) for _ in texts]
-        all_ = texts + [t for t, c in zip(texts, copies, strict=True) if c > 1]
-        counts = collections.Counter(t[i : i + width] for t in all_ for i in range(len(t) - width + 1))
-        for t, runs in zip(texts, suffix_dedup.repeated_windows(texts, copies, width), strict=True):
-            assert {i for a, b in runs for i in range(a, b + 1)} == {i for i in range(len(t) - width + 1) if counts[t[i : i + width]] > 1}
+        judged = [max(0, len(t) - widths[0] + 1 - rng.choice([0, 0, 9])) for t in texts]  # windows beyond these belong to another segment
+        all_ = [*zip(texts, judged, strict=True), *((t, n) for t, n, c in zip(texts, judged, copies, strict=True) if c > 1)]
+        found = suffix_dedup.repeated_windows(texts, judged, copies, widths)
+        for k, w in enumerate(widths):
+            counts = collections.Counter(t[i : i + w] for t, n in all_ for i in range(min(n, len(t) - w + 1)))
+            for t, n, runs in zip(texts, judged, found, strict=True):
+                assert {i for a, b, j in runs if j == k for i in range(a, b + 1)} == {i for i in range(min(n, len(t) - w + 1)) if counts[t[i : i + w]] > 1}
 
 
 def test_suffix_dedup(spark):
@@ -162,13 +166,30 @@ def test_suffix_dedup(spark):
     rows = [(i, "".join(rng.choice(base) for _ in range(rng.randint(0, 4)))) for i in range(150)]
     rows += [(300, None), (301, ""), (302, "a" * 500), (303, rows[5][1]), (303, rows[6][1]), (None, rows[7][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
-    want = sorted(str((d, *b)) for (d, _), b in zip(rows, _brute([(t or "").encode() for _, t in rows], 40), strict=True))
+    texts = [(t or "").encode() for _, t in rows]
+    want = sorted(str((d, *b)) for (d, _), b in zip(rows, _brute(texts, 40), strict=True))
     for cap in (3, 2000):
         got = suffix_dedup.remove_repeats(df, 40, 16, cap).collect()
         assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
+    near = sorted(str((d, *b, c[1])) for (d, _), b, c in zip(rows, _brute(texts, 40), _brute(texts, 25), strict=True))
+    assert sum(b[1] for b in _brute(texts, 40)) < sum(b[1] for b in _brute(texts, 25))
+    for cap in (3, 2000):
+        got = suffix_dedup.remove_repeats(df, 40, 10, cap, passage=25).collect()
+        assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated)) for r in got) == near
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_text_of_several_spans(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPAN", 1000)
+    rng = random.Random(15)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(6000))) for i in range(3)]
+    rows += [(3, rows[0][1][900:1100] + "".join(rng.choice("xyz") for _ in range(2500)) + rows[1][1][1950:2050]), (4, rows[2][1][10:5900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(str((d, *b)) for (d, _), b in zip(rows, _brute([t.encode() for _, t in rows], 40), strict=True))
+    got = suffix_dedup.remove_repeats(df, 40, 16, passage=30).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
