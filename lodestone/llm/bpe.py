@@ -23,7 +23,7 @@ LETTER, NUMBER, OTHER, SPACE, BLANK = 1, 2, 3, 4, 5
 #: Characters below TOP on whose class or lower case libraries differ, and white space of two bytes: these texts go to the library.
 UNSURE = {*range(0x1C, 0x20), 0x85, 0xA0, 0x130}
 #: Bytes of text that are split at once, and pre-tokens kept by a worker.
-CHUNK, KEPT = 8 << 20, 1_000_000
+CHUNK, KEPT = 2 << 20, 300_000
 
 
 def _classes() -> np.ndarray:

@@ -12,11 +12,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .samples import fold, sample_ids
+from .samples import fold
 from .shared import table
 
 #: Language families by ISO 639-1 code. Any other language is a family of its own.
@@ -43,13 +43,17 @@ def _letters() -> np.ndarray:
 LOWER = _letters()
 
 
-def features(text: str) -> np.ndarray:
+def features(text: str, chunk: int = 1 << 20) -> np.ndarray:
+    """Of a whole text, ``chunk`` bytes at a time."""
     b = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     b = b[np.append(True, (b[1:] != 32) | (b[:-1] != 32))] if len(b) else b
-    u = b.astype(np.uint32)
-    grams = [u, u[:-1] * 256 + u[1:] + 65536, u[:-2] * 65536 + u[1:-1] * 256 + u[2:] + (1 << 25)]
-    hashed = (np.concatenate(grams) * np.uint32(2654435761)) >> np.uint32(20)
-    x = np.sqrt(np.bincount(hashed, minlength=DIM))
+    counts = np.zeros(DIM, np.int64)
+    for at in range(0, len(b), chunk):
+        u = b[at : at + chunk + 2].astype(np.uint32)  # a gram belongs to the chunk it starts in
+        n = min(chunk, len(b) - at)
+        grams = [u[:n], (u[:-1] * 256 + u[1:] + 65536)[:n], (u[:-2] * 65536 + u[1:-1] * 256 + u[2:] + (1 << 25))[:n]]
+        counts += np.bincount((np.concatenate(grams) * np.uint32(2654435761)) >> np.uint32(20), minlength=DIM)
+    x = np.sqrt(counts)
     return (x / max(np.linalg.norm(x), 1e-12)).astype(np.float32)
 
 
@@ -102,8 +106,9 @@ class Model:
         return best, won[best][2]
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    x, y = np.array([features(t) for t in texts], np.float32).reshape(-1, DIM), np.array(langs)
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """From rows of features and their languages."""
+    y = np.array(langs)
     kin: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         kin.setdefault(family(lang), []).append(lang)
@@ -118,40 +123,53 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(kin, np.array(ws, np.float32).reshape(-1, DIM).T, np.array(bs), machines)
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 1000, longest: int = 10_000) -> Model | None:
-    """Learn every language from text and lang of rows outside the held-out fold, of texts with a letter: at most ``per_lang`` rows for each, of
-    texts of at most ``longest`` characters where the language has any, else of longer ones. None if there is no such row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    rows = rows.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held) & F.col("text").rlike(r"\p{L}"))
-    short = F.length("text") <= longest
-    long_only = [r.lang for r in rows.groupBy("lang").agg(F.max(short).alias("short")).where("not short").collect()]  # a row per language
-    rows = rows.where(short | F.col("lang").isin(long_only))
-    picked = sample_ids(rows, "lang", per_lang).distinct()
-    got = rows.join(F.broadcast(picked), ["doc_id", "lang"]).collect()  # at most per_lang ids a language
-    got = sorted((r for r in got if has_letter(r.text)), key=lambda r: (r.doc_id, r.lang, r.text))
-    return fit([r.text for r in got], [r.lang for r in got]) if got else None
+def train(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 1000, most: int = 20_000) -> Model | None:
+    """Learn every language from text and lang of rows outside the held-out fold, of texts with a letter. None if there is no such row.
 
-
-def with_letters(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a letter."""
+    The sample is bounded: at most ``per_lang`` rows for each language, those of the least hashes of id and text, and fewer (50 at least) where there are so
+    many languages that these would be over ``most`` in all. Texts of any length count, as wholes; their features are worked out on the executors. Rows with a null
+    id are in no fold and aren't learned from; rows that repeat an id count each by itself; an empty table gives None.
+    """
     ship(docs.sparkSession)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id").cast("long"), folds) != held))
+    sizes = rows.groupBy("lang").count().collect()  # a row per language
+    each = max(50, min(per_lang, most // max(len(sizes), 1)))
+    steps, below = 1 << 30, F.lit(0)
+    for r in sizes:
+        below = F.when(F.col("lang") == r[0], int(min(1.0, (1.2 * each + 200) / r[1]) * steps)).otherwise(below)
+    near = rows.withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(steps))).where(F.col("h") < below).select("lang", "h", "text")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([bool(t) and has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            got = [features(t) if has_letter(t) else None for t in batch.column(2).to_pylist()]
+            keep = pa.array([x is not None for x in got], pa.bool_())
+            at = [np.flatnonzero(x) for x in got if x is not None]
+            values = [x[i] for x, i in zip((x for x in got if x is not None), at, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([i.astype(np.int16) for i in at], pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))], ["lang", "h", "at", "value"])
+
+    order = Window.partitionBy("lang").orderBy("h", "at", "value")
+    ranked = near.mapInArrow(weigh, "lang string, h long, at array<smallint>, value array<float>").withColumn("k", F.row_number().over(order))
+    got = ranked.where(F.col("k") <= each).drop("k").toArrow()  # at most ``each`` rows a language, of some kilobytes
+    if not len(got):
+        return None
+    langs = got.column("lang").to_pylist()
+    x = np.zeros((len(got), DIM), np.float32)
+    for i, (at, value) in enumerate(zip(got.column("at"), got.column("value"), strict=True)):
+        x[i, at.values.to_numpy()] = value.values.to_numpy()
+    first = np.lexsort((got.column("h").to_numpy(), np.array(langs)))
+    return fit(x[first], [langs[i] for i in first])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score; ``und`` and 0 if text is null, has no letter, or there is no model."""
+    """The columns ``keep`` with lang_pred and score. A text that is null or has no letter gets ``und`` and 0; so do all texts without a model. Null and
+    repeated ids don't matter."""
     ship(docs.sparkSession)
-    own = docs.select(*keep, F.col("text").alias("_text"))
+    own = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    at = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.predict(t) if model else ("und", 0.0) for t in batch.column(len(keep)).to_pylist()]
+            got = [model.predict(t) if model else ("und", 0.0) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
