@@ -11,14 +11,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
-#: Bytes in an Arrow batch on its way to Python, at most, where the session has Spark's default of 64 MB: workers hold some batches at once.
-BATCH_KEY, BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", ("67108864b", "64MB", "64m")
+#: Bytes in an Arrow batch on its way to Python, at most, where the session doesn't say: workers hold some batches at once.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once for each application, unless PYTHONPATH has it for them; keeps Arrow batches small."""
-    if spark.conf.get(BATCH_KEY, "") in DEFAULT_BATCH:
-        spark.conf.set(BATCH_KEY, BATCH)
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH))
     root = Path(__file__).resolve().parent.parent
     app = spark.sparkContext.applicationId
     if app in _sent or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
