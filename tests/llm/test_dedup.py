@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -238,6 +239,55 @@ def test_spotsigs_of_long_texts(spark):
     assert abs(got[1].near_next - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-12 and got[1].near_next < 1
 
 
+def _signatures(text):
+    """Signatures of a text by plain Python: a spot with the next two content words among the eight words after it."""
+    w = re.sub(r"[^a-zäöüßéèêçñóíáàùû0-9]+", " ", (text or "").lower()).split()
+    common = lambda x: len(x) <= 3 or x in spotsigs.SPOTS
+    out = set()
+    for i, x in enumerate(w):
+        after = [y for y in w[i + 1 : i + 9] if not common(y)][:2]
+        if common(x) and after:
+            out.add((x, *after))
+    return out or set(w) or {text or ""}
+
+
+def test_spotsigs_likeness_against_plain_python(spark):
+    rng = random.Random(16)
+    word = lambda: rng.choice(["the", "a", "of", "nicht", "with"]) if rng.random() < 0.4 else "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 5)))
+    rows = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 5, 60, 900])))) for i in range(60)]
+    rows += [(100, rows[3][1] + " the end of it"), (101, rows[3][1]), (102, None), (103, "")]
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    for k, (d, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + nxt[:n]
+        assert abs(got[d].near_edited - jaccard(_signatures(t), _signatures(edited))) < 1e-12
+        assert abs(got[d].near_next - jaccard(_signatures(t), _signatures(nxt))) < 1e-12
+
+
+def test_spotsigs_next_document_with_a_frequent_id(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(rng.choice([-(1 << 62), 7, 7, 7, i, 1 << 62]), f"{i:06d} the {word()} {word()}") for i in range(400)]  # a quarter is the first six characters
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spotsigs.edited_fingerprints(df).select("doc_id", "edited_sha256").collect()
+    assert len(got) == len(rows)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    cut = lambda t, u: t[: len(t) - len(t) // 4] + u[: len(t) // 4]
+    known = {sha(cut(t, u)): (t, u) for _, t in rows for _, u in rows}
+    follow = {known[r.edited_sha256][0]: known[r.edited_sha256][1] for r in got}
+    # a cycle over all rows, in ascending order of ids; the order of rows of one id is open
+    prefixes = {t[:6] for _, t in rows}
+    assert len(follow) == len(rows) == len(prefixes)
+    at, seen = rows[0][1], []
+    ids = {t: d for d, t in rows}
+    for _ in rows:
+        seen.append(ids[at])
+        at = follow[at]
+    assert at == rows[0][1] and sum(b < a for a, b in zip(seen, [*seen[1:], seen[0]], strict=True)) == 1
+
+
 def test_spotsigs_classes(spark):
     rng = random.Random(14)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
