@@ -206,6 +206,52 @@ def test_decontamination(spark):
     assert contamination(docs.limit(0), bench).count() == 0 and contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_miss_no_replacement():
+    from itertools import combinations
+
+    from lodestone.llm.decontamination import MASKS, SHORT_MASKS
+
+    for n in range(8, 20):
+        masks, window = (MASKS, 13) if n >= 13 else (SHORT_MASKS, n)
+        lost = window - -(-4 * window // 5)
+        spots = [{i + j for j, bit in enumerate(m) if bit == "1"} for m in masks for i in range(window - len(m) + 1)]
+        for k in range(lost + 1):
+            assert all(any(not s & set(gone) for s in spots) for gone in combinations(range(window), k))
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(25)]
+    word = lambda: rng.choice(vocabulary)
+    items = [[word() for _ in range(n)] for n in (8, 8, 9, 10, 11, 12, 13, 14, 20, 40, 7, 0)]
+    rows = []
+    for d in range(150):
+        w = [word() for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items)
+            a = rng.randint(0, max(0, len(item) - 13))
+            part = list(item[a : a + 13]) if rng.random() < 0.7 else list(item)
+            for _ in range(rng.randint(0, 4)):
+                if part:
+                    part[rng.randrange(len(part))] = word()
+            w += part + [word() for _ in range(rng.randint(0, 9))]
+        rows.append((d if d % 9 else 0, " ".join(w)))
+    want: dict = {}
+    for d, t in rows:
+        w = t.split()
+        for k, item in enumerate(items):
+            n = min(13, len(item))
+            for i in range(len(item) - n + 1) if len(item) >= 8 else ():
+                for at in range(-n, len(w)):
+                    m = sum(0 <= at + j < len(w) and w[at + j] == item[i + j] for j in range(n))
+                    if 5 * m >= 4 * n:
+                        want[d, k] = max(want.get((d, k), (0,)), (m, -at, -i))
+    assert len(want) > 60
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, -r.doc_start, -r.item_start) for r in contamination(docs, bench).collect()}
+    assert got == want
+
+
 def test_spotsigs(spark):
     rng = random.Random(10)
     word = lambda: rng.choice(["the", "a", "of"]) if rng.random() < 0.4 else "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
