@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -50,6 +52,22 @@ def is_finite(v: Column) -> Column:
     return ~F.exists(doubles(v), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
+def unit_norm_report(df: DataFrame, column: str = "embedding", tol: float = 1e-4) -> DataFrame:
+    """One row: the greatest and the mean deviation of norms from 1, and how many are over ``tol``."""
+    off = F.abs(norm(F.col(column)) - 1)
+    return df.agg(F.max(off).alias("max_off"), F.avg(off).alias("mean_off"), F.count_if(off > tol).alias("n_off"))
+
+
+def aligned(df: DataFrame, dim: int, renorm: bool = True, check_unit_norm: bool = False, tol: float = 1e-4, column: str = "embedding") -> DataFrame:
+    """The rows with vectors in float; raises on another dimension or a value that isn't finite. Vectors are made unit length with ``renorm``; else, if
+    asked for, norms that are off by more than ``tol`` are reported by a warning."""
+    if check_unit_norm and not renorm:
+        r = unit_norm_report(df, column, tol).first()
+        if r.n_off:
+            warnings.warn(f"{r.n_off} vectors are not of unit length: off by {r.max_off:.3g} at most, {r.mean_off:.3g} on average", stacklevel=2)
+    return df.withColumn(column, checked(F.col(column), dim, renorm))
+
+
 def checked(v: Column, dim: int, renorm: bool = True) -> Column:
     """The vector in float, of unit length if ``renorm``; raises on another dimension or a value that isn't finite."""
     ok = (F.size(v) == dim) & is_finite(v)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, keep
 from .graph import CAPTION, IMAGE
 
 TYPE_WEIGHTS = {"sem_sim": 1.0, "cooccur": 0.7, "paired_with": 1.0}
@@ -15,25 +18,30 @@ def _typed(edges: DataFrame, weights: dict[str, float]) -> DataFrame:
     return edges.where(F.col("edge_type").isin(list(weights))).select(F.col("src_type").alias("node_type"), F.col("src").alias("node_idx"), "dst_type", "dst", (F.col("weight").cast("double") * w[F.col("edge_type")]).alias("w"))
 
 
-def beam_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, beam: int = 20, decay: float = 0.85, most: int = 200, least_gain: float = 1e-3, weights: dict[str, float] = TYPE_WEIGHTS) -> DataFrame:
+def beam_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, beam: int = 20, decay: float = 0.85, most: int = 200, least_gain: float = 1e-3, weights: dict[str, float] = TYPE_WEIGHTS, cap_ms: float | None = None) -> DataFrame:
     """(query_id, node_type, node_idx, score, hop) from seeds (query_id, node_type, node_idx, score).
 
     On hop h a node passes score * decay ** h * edge weight * type weight to its neighbours; a node keeps its greatest score and first hop; the ``beam`` best
     new nodes with at least ``least_gain`` go on, and the ``most`` best nodes of each query are returned. What a hop reads several times is
-    persisted, as it would be worked out anew for each use; there are a few thousand rows of it per query at most.
+    written to the shared folder and read again; there are a few thousand rows of it per query at most. With ``cap_ms`` no hop begins after so many milliseconds.
     """
+    began = time.perf_counter()
     typed = _typed(edges, weights)
     keys = ["query_id", "node_type", "node_idx"]
-    found = seeds.groupBy(*keys).agg(F.max("score").alias("score")).withColumn("hop", F.lit(0)).persist()
-    front = found
+    found = seeds.groupBy(*keys).agg(F.max("score").alias("score")).withColumn("hop", F.lit(0))
+    front = found = keep(found, "found")
     for h in range(1, hops + 1):
+        if cap_ms is not None and h > 1 and (time.perf_counter() - began) * 1000 > cap_ms:
+            break
         step = front.join(typed, ["node_type", "node_idx"]).select("query_id", F.col("dst_type").alias("node_type"), F.col("dst").alias("node_idx"), (F.col("score") * decay**h * F.col("w")).alias("score"))
-        step = step.groupBy(*keys).agg(F.max("score").alias("score")).where(F.col("score") >= least_gain).persist()
+        step = keep(step.groupBy(*keys).agg(F.max("score").alias("score")).where(F.col("score") >= least_gain), "step")
         fresh = step.join(found.select(*keys), keys, "left_anti")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_type", "node_idx")
-        front = fresh.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= beam).drop("_r").withColumn("hop", F.lit(h)).persist()
+        before = front, found
+        front = keep(fresh.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= beam).drop("_r").withColumn("hop", F.lit(h)), "front")
         again = step.join(found.select(*keys, "hop"), keys)
-        found = found.unionByName(again).unionByName(front).groupBy(*keys).agg(F.max("score").alias("score"), F.min("hop").alias("hop")).persist()
+        found = keep(found.unionByName(again).unionByName(front).groupBy(*keys).agg(F.max("score").alias("score"), F.min("hop").alias("hop")), "found")
+        drop(step, *before)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_type", "node_idx")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
@@ -62,6 +70,14 @@ def pagerank(seeds: DataFrame, edges: DataFrame, rounds: int = 3, restart: float
     return rank
 
 
+def edges_summary(expanded: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, edges_summary): a map from edge type to how many edges join two nodes that were reached for the query."""
+    a = expanded.select("query_id", F.col("node_type").alias("src_type"), F.col("node_idx").alias("src"))
+    b = expanded.select("query_id", F.col("node_type").alias("dst_type"), F.col("node_idx").alias("dst"))
+    n = edges.join(a, ["src_type", "src"]).join(b, ["query_id", "dst_type", "dst"]).groupBy("query_id", "edge_type").agg(F.count("*").alias("n"))
+    return n.groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("edge_type", "n")))).alias("edges_summary"))
+
+
 def context(expanded: DataFrame, captions: DataFrame, n_texts: int = 5, n_images: int = 4, chars: int = 120) -> DataFrame:
     """(query_id, texts, image_ids, caption_ids): the best captions' texts, cut, and the best images; captions (id, text)."""
     order = Window.partitionBy("query_id", "node_type").orderBy(F.desc("score"), "node_idx")

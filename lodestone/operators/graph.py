@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import semantic_edges  # noqa: F401
+from ..functions.vectors import l2_normalize
+from .knn import semantic_edges
 
 IMAGE, CAPTION, REGION = "image", "caption", "region"
 SEM_SIM, PAIRED_WITH, COOCCUR = "sem_sim", "paired_with", "cooccur"
+#: Kinds of nodes, kinds of edges.
+NODE_TYPES, EDGE_TYPES = (IMAGE, CAPTION, REGION), (SEM_SIM, PAIRED_WITH, COOCCUR)
 EDGE = ["src_type", "src", "edge_type", "dst_type", "dst", "weight"]
 
 
@@ -49,8 +52,6 @@ def cooccur_edges(captions: DataFrame) -> DataFrame:
 
 def assemble(nodes: DataFrame, *edges: DataFrame, dim: int | None = None, normalize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and all edges as two tables, with a check of both. Raises ValueError."""
-    from ..functions.vectors import l2_normalize
-
     if normalize:
         nodes = nodes.withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>"))
     joined = reduce(DataFrame.unionByName, [e.select(*EDGE) for e in edges])
@@ -80,6 +81,28 @@ def validation_report(nodes: DataFrame, edges: DataFrame, dim: int | None = None
     return long(of_nodes).union(long(loops)).union(orphans("src")).union(orphans("dst"))
 
 
+def node_json(nodes: DataFrame) -> DataFrame:
+    """(node_type, node_idx, json): what a node is, without its vector."""
+    return nodes.select("node_type", "node_idx", F.to_json(F.struct(*[c for c in nodes.columns if c != "embedding"])).alias("json"))
+
+
+def build_graph(captions: DataFrame, images: DataFrame, k: int = 16, cap: int = 16, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from captions (id, image_id, text, embedding, row_pos) and image vectors (image_id, embedding): dense indices in order of appearance,
+    similar images and captions, pairs, captions of one image, all checked. Images without a caption are no nodes; captions of images without a vector are
+    nodes without a pair. Raises ValueError if a check fails or a node has more than ``min(k, cap)`` similar ones."""
+    shown = captions.join(images.select("image_id"), "image_id", "left_semi")
+    i = node_index(shown, "image_id", "row_pos").join(images.select(F.col("image_id").alias("ext_id"), "embedding"), "ext_id")
+    c = node_index(captions, "id", "row_pos").join(captions.select(F.col("id").alias("ext_id"), "image_id", "text", "embedding"), "ext_id")
+    parts = [n.select(F.lit(kind).alias("node_type"), "node_idx", F.col("ext_id").cast("string").alias("ext_id"), text.alias("text"), l2_normalize(F.col("embedding")).cast("array<float>").alias("embedding")) for kind, n, text in ((IMAGE, i, F.lit(None).cast("string")), (CAPTION, c, F.col("text")))]
+    near = [semantic_edges(n.select(F.col("node_idx").alias("id"), "embedding"), k, cap, kind) for kind, n in ((IMAGE, i), (CAPTION, c))]
+    own = c.select("node_idx", "image_id")
+    nodes, edges = assemble(parts[0].unionByName(parts[1]), *near, paired_edges(own, i.select("ext_id", "node_idx")), cooccur_edges(own), dim=dim)
+    most = out_degree(nodes, edges).where((F.col("edge_type") == SEM_SIM) & (F.col("max_degree") > min(k, cap)))
+    if most.count():
+        raise ValueError(f"a node has more than {min(k, cap)} similar ones")
+    return nodes, edges
+
+
 def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src_type", "edge_type", "dst_type").agg(F.count("*").alias("n_edges"))
 

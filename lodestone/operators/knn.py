@@ -1,11 +1,13 @@
 """Nearest-neighbour joins.
 
-Queries go to the executors in blocks of checked size; each corpus partition keeps its best k rows for each query by matrix products, and a
-window picks the best of those. No pair of rows is ever written out but those k per query and batch.
+Vectors travel in blocks: one row holds the ids and the matrix of some thousand vectors. Blocks of queries meet blocks of the corpus in a join, a
+matrix product gives each pair of blocks its k best rows for each query, and a window picks the best of those. No pair of rows is ever written
+out but those k per query and pair of blocks, and nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,71 +18,126 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles, dot, l2_normalize, squared_l2
 from ..session import ship
 
-#: Numbers in a block of queries, at most (32 MB).
-BLOCK = 4_000_000
+#: Numbers in a block of vectors (8 MB), in a block of scores, and on a side that is broadcast (64 MB), at most.
+BLOCK, SCORES, BROADCAST = 1_000_000, 4_000_000, 8_000_000
 #: Scores are rounded to so many decimals, so that equal vectors tie wherever a matrix product meets them.
 DIGITS = 12
 
 
-def _matrix(column: pa.Array, normalize: bool) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if normalize else x
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k greatest scores, ties by the lesser id."""
-    if len(scores) > k:
-        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-        return near[np.lexsort((ids[near], -scores[near]))[:k]]
-    return np.lexsort((ids, -scores))
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows and numbers of a table of vectors."""
+    n, dim = df.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    return n, n * max(dim or 1, 1)
+
+
+def _blocks(df: DataFrame, key: str, unit: bool, to: str, group: str | None = None) -> DataFrame:
+    """(to_ids, to_x[, group]): rows (key, embedding) packed into blocks, ids ascending within each; of unit length if ``unit``. With a group, which the rows
+    must be sorted by, no block mixes two of them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        of, size = None, 0
+
+        def flush() -> pa.RecordBatch:
+            ids, x = np.concatenate(held_ids), np.concatenate(held)
+            order = np.argsort(ids, kind="stable")
+            held_ids.clear(), held.clear()
+            cols = [pa.array([ids[order].tobytes()], pa.binary()), pa.array([x[order].tobytes()], pa.binary())] + ([pa.array([of], pa.int64())] if group else [])
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        names = [f"{to}_ids", f"{to}_x"] + ([group] if group else [])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            if unit:
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            step = max(1, BLOCK // max(x.shape[1], 1))
+            own = batch.column(2).to_numpy() if group else np.zeros(len(ids), np.int64)
+            cuts = np.union1d(np.flatnonzero(np.diff(own)) + 1, np.arange(0, len(ids), step))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
+                if held and (size + x[a:b].size > BLOCK or of != own[a]):
+                    yield flush()
+                    size = 0
+                of = int(own[a])
+                held_ids.append(ids[a:b]), held.append(x[a:b])
+                size += x[a:b].size
+        if held:
+            yield flush()
+
+    rows = df.select(F.col(key).cast("long").alias("i"), doubles(F.col("embedding")).alias("v"), *([F.col(group).cast("long").alias("g")] if group else []))
+    return rows.mapInArrow(pack, f"{to}_ids binary, {to}_x binary" + f", {group} long" * bool(group))
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest scores of each row; columns are in order of ids, and of equal scores the first ones count."""
+    n, m = s.shape
+    if m <= k:
+        return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    if k == 1:
+        return np.arange(n), s.argmax(1)
+    least = np.partition(s, m - k, axis=1)[:, m - k, None]
+    above, ties = s > least, s == least
+    left = k - above.sum(1, keepdims=True)
+    return np.nonzero(above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= left)))
+
+
+def _nearest(pairs: DataFrame, k: int, cosine: bool, exclude_self: bool) -> DataFrame:
+    """The k best of each pair of blocks (q_ids, q_x, c_ids, c_x) for each query: (query_id, id, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [batch.schema.get_field_index(c) for c in ("q_ids", "q_x", "c_ids", "c_x")]
+            for i in range(batch.num_rows):
+                names, q, ids, x = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in zip(at, (np.int64, np.float64, np.int64, np.float64), strict=True))
+                q, x = q.reshape(len(names), -1), x.reshape(len(ids), -1)
+                step = max(1, SCORES // len(ids))
+                for a in range(0, len(names), step):
+                    part, own = q[a : a + step], names[a : a + step]
+                    s = np.round(part @ x.T if cosine else 2 * part @ x.T - (part * part).sum(1)[:, None] - (x * x).sum(1)[None], DIGITS)
+                    if exclude_self:
+                        spot = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                        for r in np.flatnonzero(ids[spot] == own).tolist():
+                            s[r, ids == own[r]] = -np.inf
+                    row, col = _best(s, k)
+                    if exclude_self:
+                        fine = np.isfinite(s[row, col])
+                        row, col = row[fine], col[fine]
+                    score = s[row, col] if cosine else np.round(((x[col] - part[row]) ** 2).sum(1), DIGITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[col]), pa.array(score)], ["query_id", "id", "score"])
+
+    return pairs.mapInArrow(run, "query_id long, id long, score double")
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", normalize: bool = True, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score): for each of queries (query_id, embedding) its k nearest rows of corpus (id, embedding), all longs.
 
     cosine: inner product, of unit vectors if ``normalize``; greater is nearer. euclidean: squared distance; less is nearer. Ties go to the lesser
-    id. Fewer rows than k give fewer results. Null vectors are left out.
+    id. Fewer rows than k give fewer results. Null vectors are left out. The smaller side is broadcast up to 64 MB of numbers; beyond that its blocks are
+    dealt to as many groups of the larger side's blocks as the session has shuffle partitions.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
     spark = corpus.sparkSession
     ship(spark)
     cosine = metric == "cosine"
-    queries, corpus = (d.where(F.col("embedding").isNotNull()) for d in (queries, corpus))
-    first = queries.select(F.size("embedding").alias("d")).first()
-    schema = "query_id long, id long, score double"
-    if first is None or k < 1:
+    if k < 1:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    per_block = max(1, BLOCK // max(first.d, 1))
-    rows = queries.select(F.col("query_id").cast("long"), doubles(F.col("embedding")).alias("embedding"))
-    n = rows.count()
-    blocks = -(-n // per_block)
-    found = None
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = part.toArrow()  # a block of bounded size; more blocks for more queries
-        names, q = got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), cosine and normalize)
-
-        def nearest(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), cosine and normalize)
-                if not len(ids):
-                    continue
-                s = np.round(q @ x.T if cosine else 2 * q @ x.T - (q * q).sum(1)[:, None] - (x * x).sum(1)[None], DIGITS)
-                out: tuple[list, list, list] = ([], [], [])
-                for i, name in enumerate(names):
-                    row = np.where(ids == name, -np.inf, s[i]) if exclude_self else s[i]
-                    at = _best(row, ids, k)
-                    at = at[np.isfinite(row[at])]
-                    score = row[at] if cosine else np.round(((x[at] - q[i]) ** 2).sum(1), DIGITS)
-                    for c, v in zip(out, (np.full(len(at), name), ids[at], score), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "id", "score"])
-
-        one = corpus.select(F.col("id").cast("long"), doubles(F.col("embedding")).alias("embedding")).mapInArrow(nearest, schema)
-        found = one if found is None else found.union(one)
-    return top_k(found, k, ascending=not cosine)
+    queries, corpus = (d.where(F.col("embedding").isNotNull()) for d in (queries, corpus))
+    unit = cosine and normalize
+    small, large = _blocks(queries, "query_id", unit, "q"), _blocks(corpus, "id", unit, "c")
+    sizes = _size(queries)[1], _size(corpus)[1]
+    if sizes[0] > sizes[1]:
+        small, large = large, small
+    if min(sizes) <= BROADCAST:
+        pairs = large.join(F.broadcast(small), F.lit(True))  # a few blocks, of checked size
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = large.withColumn("part", F.pmod(F.xxhash64(large.columns[0]), F.lit(n)).cast("int"))
+        pairs = dealt.join(small.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "part")
+    return top_k(_nearest(pairs, k, cosine, exclude_self), k, ascending=not cosine)
 
 
 def top_k(scored: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -119,27 +176,64 @@ def label_centroids(corpus: DataFrame, by: str = "label") -> DataFrame:
 
 
 def kmeans_centroids(corpus: DataFrame, nlist: int = 100, most: int = 100_000, seed: int = 42) -> DataFrame:
-    """Centroids by k-means on the first ``most`` rows by hash."""
+    """(list_id, centroid): by k-means on a sample of about ``most`` rows, those below a threshold of their ids' hash. ``nlist`` rows at most.
+
+    Raises ValueError if there are fewer rows than lists.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    sample = corpus.orderBy(F.xxhash64("id")).limit(most).select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+    known = corpus.where(F.col("embedding").isNotNull())
+    n = known.count()
+    if n < nlist:
+        raise ValueError(f"{nlist} lists can't be learned from {n} rows")
+    below = int(min(1.0, most / n) * (1 << 30))
+    sample = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < below).select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=20).fit(sample)
     return corpus.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list_id long, centroid array<double>")
 
 
 def assign_lists(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
-    """corpus (id, embedding) with the list of its nearest centroid; centroids number at most some thousands."""
-    near = knn_join(corpus.withColumnRenamed("id", "query_id"), centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("embedding")), 1)
+    """corpus (id, embedding) with the list of its nearest centroid. The centroids are the side that travels."""
+    near = knn_join(corpus.select(F.col("id").alias("query_id"), "embedding"), centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("embedding")), 1)
     return corpus.join(near.select(F.col("query_id").alias("id"), F.col("id").alias("list_id")), "id")
 
 
+def build_ivf(corpus: DataFrame, nlist: int = 100, most: int = 100_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(lists, centroids): every row of corpus (id, embedding) in the list of its nearest trained centroid."""
+    centroids = kmeans_centroids(corpus, nlist, most, seed)
+    return assign_lists(corpus.select("id", "embedding"), centroids), centroids
+
+
 def ivf_search(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
-    """Nearest rows within the nprobe lists whose centroids are nearest to each query. lists: (id, embedding, list_id)."""
+    """Nearest rows by cosine within the nprobe lists whose centroids are nearest to each query. lists: (id, embedding, list_id).
+
+    Queries and rows meet in blocks of one list; a large list has many blocks, so that its join can be split.
+    """
+    ship(lists.sparkSession)
     probes = knn_join(queries, centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("embedding")), nprobe).select("query_id", F.col("id").alias("list_id"))
-    q = queries.select("query_id", l2_normalize(F.col("embedding")).alias("q"))
-    pairs = probes.join(q, "query_id").join(lists, "list_id")
-    return top_k(pairs.select("query_id", "id", F.round(dot(F.col("q"), l2_normalize(F.col("embedding"))), DIGITS).alias("score")), k)
+    asked = probes.join(queries.select("query_id", "embedding"), "query_id").repartition("list_id").sortWithinPartitions("list_id")
+    held = lists.where(F.col("embedding").isNotNull()).repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("list_id")
+    pairs = _blocks(asked, "query_id", True, "q", "list_id").join(_blocks(held, "id", True, "c", "list_id"), "list_id")
+    return top_k(_nearest(pairs, k, True, False), k)
+
+
+def search_index(queries: DataFrame, corpus: DataFrame, k: int, index: tuple[DataFrame, DataFrame] | None = None, nprobe: int = 8, exact_up_to: int = 50_000) -> DataFrame:
+    """Exact or by inverted lists: lists are used if there are any, the corpus has more than ``exact_up_to`` rows, and they can be read; else all rows are compared."""
+    if index is not None:
+        try:
+            lists, centroids = index
+            if lists.count() > exact_up_to:
+                return ivf_search(queries, lists, centroids, k, nprobe)
+        except Exception as e:  # a missing or broken index: the exact way remains
+            warnings.warn(f"index not used: {e}", stacklevel=2)
+    return knn_join(queries, corpus, k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: n pairs of exact (query_id, id), how many of them are found, and their share."""
+    both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("n"), F.count("hit").alias("found"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
 
 
 def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 0.5, tables: int = 16, seed: int = 42) -> DataFrame:

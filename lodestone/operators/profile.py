@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
@@ -49,6 +49,17 @@ def score_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.var_pop(value).alias("var"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def closest_setting(profiled: DataFrame, setting: str, latency: str, target: float) -> DataFrame:
+    """One row: the setting whose latency is closest to the target, of equally close ones the first by name."""
+    return profiled.agg(F.min_by(setting, F.struct(F.abs(F.col(latency) - target), setting)).alias(setting))
+
+
+def hit_rates(df: DataFrame, group: str, hit: Column) -> DataFrame:
+    """Per group: look-ups, hits, and the share of look-ups that hit."""
+    n = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    return n.withColumn("hit_rate", F.col("hits") / F.col("n"))
+
+
 def hit_rate(hits: int, misses: int) -> float:
     """Hits among all look-ups, 0 if there were none."""
     return hits / (hits + misses) if hits + misses else 0.0

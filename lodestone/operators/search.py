@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, tokens
+from ..functions.vectors import aligned
 from ..session import ship
 from .fusion import FusionConfig, fuse
 from .knn import knn_join
@@ -26,6 +27,36 @@ class Encoder(Protocol):
     def encode(self, items: list) -> list[list[float]]: ...
 
 
+class PairModel(Protocol):
+    """What scores pairs of a text and an image (bytes), between 0 and 1. One is made on each worker."""
+
+    higher_is_better: bool
+
+    def score(self, texts: list, images: list) -> list[float]: ...
+
+
+#: Texts and images that a model takes at once.
+TEXT_BATCH, IMAGE_BATCH, LEAST_BATCH = 64, 32, 1
+
+
+def model_info(model: Encoder | PairModel) -> dict:
+    """Name, dimension and orientation of a model, as far as it has them."""
+    return {"model_type": type(model).__name__} | {k: getattr(model, k) for k in ("dim", "higher_is_better") if hasattr(model, k)}
+
+
+def in_batches(run: Callable[[list], list], items: list, size: int, least: int = LEAST_BATCH) -> list:
+    """The model's answers for all items. Where memory doesn't suffice for a batch its size is halved, down to ``least``."""
+    out: list = []
+    while len(out) < len(items):
+        try:
+            out += run(items[len(out) : len(out) + size])
+        except MemoryError:
+            if size <= least:
+                raise
+            size = max(least, size // 2)
+    return out
+
+
 class HashEncoder:
     """A stand-in without a model: signed counts of hashed tokens."""
 
@@ -45,8 +76,8 @@ class HashEncoder:
         return out
 
 
-def encode(df: DataFrame, column: str, make: Callable[[], Encoder], batch: int = 64) -> DataFrame:
-    """Adds a column embedding of unit vectors (a zero vector stays zero)."""
+def encode(df: DataFrame, column: str, make: Callable[[], Encoder], batch: int = TEXT_BATCH) -> DataFrame:
+    """Adds a column embedding of unit vectors (a zero vector stays zero) of texts or image bytes."""
     import numpy as np
 
     ship(df.sparkSession)
@@ -55,14 +86,67 @@ def encode(df: DataFrame, column: str, make: Callable[[], Encoder], batch: int =
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for s in parts:
-            got: list = []
-            for i in range(0, len(s), batch):
-                got += model.encode(list(s.iloc[i : i + batch]))
+            got = in_batches(model.encode, list(s), batch)
             yield pd.Series([np.asarray(v, np.float64) / max(float(np.linalg.norm(v)), 1e-12) for v in got], dtype=object)
 
     return df.withColumn("embedding", run(F.col(column)))
 
 
+def encode_query(df: DataFrame, mode: str, dim: int, make: Callable[[], Encoder] | None = None, column: str = "query") -> DataFrame:
+    """Adds the unit vector (column embedding) of a text, an image's bytes or a given vector. Raises ValueError for another mode or no encoder, and when run
+    for a vector of another dimension or with a value that isn't finite."""
+    if mode not in ("text", "image", "vector"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "vector":
+        return aligned(df.withColumn("embedding", F.col(column)), dim)
+    if make is None:
+        raise ValueError(f"mode {mode} needs an encoder")
+    return aligned(encode(df, column, make, TEXT_BATCH if mode == "text" else IMAGE_BATCH), dim)
+
+
+PAIR_TYPES = ("text", "image")
+
+
+def pair_scorer(queries: DataFrame, corpus: DataFrame, make: Callable[[], PairModel], query_type: str = "text", candidate_type: str = "image", batch: int = 8) -> Scorer:
+    """A scorer by a model of text and image pairs; queries (query_id, content), corpus (id, content). An image asking for texts is the swapped pair. A pair that the
+    model fails on gets null, no constant. Raises NotImplementedError for pairs of one kind, ValueError for an unknown kind."""
+    if query_type not in PAIR_TYPES or candidate_type not in PAIR_TYPES:
+        raise ValueError(f"unknown pair {query_type} / {candidate_type}")
+    if query_type == candidate_type:
+        raise NotImplementedError(f"no model for {query_type} and {candidate_type}")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        ship(pairs.sparkSession)
+
+        @F.pandas_udf("double")
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = make()
+            for a, b in parts:
+                texts, images = (a, b) if query_type == "text" else (b, a)
+                yield pd.Series(in_batches(lambda some: _scores(model, some), list(zip(texts, images, strict=True)), batch), dtype="float64")
+
+        q, c = queries.select("query_id", F.col("content").alias("_q")), corpus.select("id", F.col("content").alias("_c"))
+        return pairs.join(q, "query_id", "left").join(c, "id", "left").withColumn("s2", run("_q", "_c")).drop("_q", "_c")
+
+    return score
+
+
+def _scores(model: PairModel, pairs: list[tuple]) -> list[float | None]:
+    """Scores of pairs; null where one has no content or the model fails. Memory errors are the caller's."""
+    try:
+        whole = all(x is not None and y is not None for x, y in pairs)
+        got = model.score(*map(list, zip(*pairs, strict=True))) if whole else None
+        if got is not None and len(got) == len(pairs):
+            return [float(x) for x in got]
+    except MemoryError:
+        raise
+    except Exception:
+        pass
+    if len(pairs) > 1:  # find the pairs that fail
+        return [x for p in pairs for x in _scores(model, [p])]
+    return [None] * len(pairs)
+
+
 def jaccard_scorer(queries: DataFrame, corpus: DataFrame) -> Scorer:
     """Token overlap of the query's text and the candidate's; queries (query_id, text), corpus (id, text)."""
 

@@ -51,17 +51,18 @@ def term_counts(gathered: DataFrame, captions: DataFrame) -> DataFrame:
 
     A caption's tokens stay one row until they are counted; the last token before each caption comes with it for the bigram between them.
     """
-    texts = captions.select(F.col("id").alias("caption"), tokens(F.coalesce("text", F.lit(""))).alias("tok"))
+    wanted = gathered.select(F.col("caption").alias("id")).distinct()  # only what was gathered is cut into tokens
+    texts = captions.join(wanted, "id", "left_semi").select(F.col("id").alias("caption"), tokens(F.coalesce("text", F.lit(""))).alias("tok"))
     order = Window.partitionBy("query_id").orderBy("seed_rank", "path", "via", "caption")
     rows = gathered.join(texts, "caption").where(F.size("tok") > 0)
     rows = rows.withColumn("base", F.coalesce(F.sum(F.size("tok")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("before", F.lag(F.element_at("tok", -1)).over(order))
-    one = rows.select("query_id", F.posexplode("tok").alias("at", "term"), "base").select("query_id", "term", F.lit(0).alias("is_bigram"), (F.col("base") + F.col("at")).alias("pos"))
-    joined = F.when(F.col("before").isNull(), F.col("tok")).otherwise(F.concat(F.array("before"), F.col("tok")))
-    shift = F.when(F.col("before").isNull(), 0).otherwise(1)
-    two = rows.select("query_id", joined.alias("tok"), (F.col("base") - shift).alias("base")).where(F.size("tok") > 1)
-    pairs = F.zip_with(F.slice("tok", F.lit(1), F.size("tok") - 1), F.slice("tok", F.lit(2), F.size("tok") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    two = two.select("query_id", F.posexplode(pairs).alias("at", "term"), "base").select("query_id", "term", F.lit(1).alias("is_bigram"), (F.col("base") + F.col("at")).alias("pos"))
-    return one.union(two).groupBy("query_id", "term", "is_bigram").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    # a token beside the one before it, which makes its bigram: one scan gives both
+    shifted = F.concat(F.array("before"), F.slice("tok", F.lit(1), F.size("tok") - 1))
+    each = rows.select("query_id", "base", F.posexplode(F.arrays_zip(F.col("tok").alias("tok"), shifted.alias("prev"))).alias("at", "w"))
+    pos = F.col("base") + F.col("at")
+    terms = F.array(F.struct(F.col("w.tok").alias("term"), F.lit(0).alias("is_bigram"), pos.alias("pos")), F.struct(F.when(F.col("w.prev").isNotNull(), F.concat_ws(" ", "w.prev", "w.tok")).alias("term"), F.lit(1).alias("is_bigram"), (pos - 1).alias("pos")))
+    both = each.select("query_id", F.inline(terms)).where("term is not null")
+    return both.groupBy("query_id", "term", "is_bigram").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
 def top_terms(counts: DataFrame, n: int) -> DataFrame:
@@ -78,7 +79,7 @@ def enrich(queries: DataFrame, top: DataFrame) -> DataFrame:
 def tfidf_terms(docs: DataFrame, n: int) -> DataFrame:
     """(id, term, tfidf, term_rank): the n terms of each document (id, text) by count * ln((N + 1) / (df + 1))."""
     tf = docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that its shuffle is used for both
     total = docs.agg(F.count("*").alias("total"))
     scored = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("tfidf", F.col("tf") * F.log((F.col("total") + 1) / (F.col("df") + 1)))  # total: one row
     order = Window.partitionBy("id").orderBy(F.desc(F.round("tfidf", 9)), "term")

@@ -15,6 +15,7 @@ from ..functions.vectors import combine, l2_normalize
 from ..operators import graph as g
 from ..operators.knn import semantic_edges
 from ..session import ship
+from ..sources.scratch import keep, scratch  # noqa: F401
 
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -65,10 +66,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that many queries read, made once for a session and input and persisted."""
+    """A table that many queries read, made once for a session and input and kept in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = make().persist()
+        _kept[key] = keep(make(), name)
     return _kept[key]
 
 

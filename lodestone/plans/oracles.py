@@ -98,7 +98,7 @@ def _ranks(of: str) -> str:
 
 NAMES = ["recall_at_1", "recall_at_5", "recall_at_10", "mrr", "map", "ndcg_at_10"]
 METRIC_ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in NAMES)
-OTHERS = "(SELECT id AS query_id, v FROM img WHERE id % 10 = 0)"
+OTHERS = "(SELECT id AS query_id, v FROM img)"
 ORACLE_SQL: dict[str, str] = {
     "caption_counts": "SELECT count(DISTINCT source) AS n_images, count(*) AS n_captions FROM documents",
     "captions_of_image": "SELECT doc_id AS row_pos, text AS caption FROM documents WHERE source = 'src3'",
@@ -148,8 +148,8 @@ ORACLE_SQL: dict[str, str] = {
     "image_to_image": sql(f"SELECT query_id, rank, id, round(s, 6) AS score FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT query_id, img.id, round(list_dot_product(o.v, img.v), 12) AS s FROM {OTHERS} o JOIN img ON img.id <> query_id)) WHERE rank <= 5", "img"),
     "image_to_image_hybrid": sql(f"SELECT query_id, rank, id, round(s, 6) AS score FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT query_id, img.id, round(list_dot_product(o.v, img.v), 12) AS s FROM {OTHERS} o CROSS JOIN img)) WHERE rank <= 10", "img"),
     "node_index": "SELECT source AS ext_id, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS node_idx FROM documents GROUP BY source",
-    "paired_edges": sql("SELECT id AS src, image AS dst FROM cap WHERE image % 4 <> 1", "cap"),
-    "unpaired_captions": sql("SELECT id AS node_idx FROM cap WHERE image % 4 = 1", "cap"),
+    "paired_edges": sql("SELECT id AS src, image AS dst FROM cap", "cap"),
+    "unpaired_captions": sql("SELECT c.id AS node_idx FROM cap c JOIN img ON img.id = c.image WHERE label = 1", "cap", "img"),
     "cooccur_edges": sql("SELECT a.id AS src, b.id AS dst FROM cap a JOIN cap b ON a.image = b.image AND a.id <> b.id", "cap"),
     "graph_edge_counts": sql("SELECT src_type, edge_type, dst_type, count(*) AS n_edges FROM edges GROUP BY 1, 2, 3", "edges"),
     "graph_validation": "SELECT unnest(['dimension', 'not_finite', 'not_dense', 'loop', 'null_weight', 'src_without_node', 'dst_without_node']) AS \"check\", 0::BIGINT AS violations",
@@ -187,3 +187,45 @@ ORACLE_SQL["kg_fusion"] = sql("""SELECT query_id, rank, id, round(score, 6) AS s
     CASE WHEN max(kg) OVER w - min(kg) OVER w < 1e-8 THEN 0 ELSE (kg - min(kg) OVER w) / (max(kg) OVER w - min(kg) OVER w) END AS n3,
     row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC NULLS LAST, rank1, id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY t DESC NULLS LAST, rank1, id) AS r2, row_number() OVER (PARTITION BY query_id ORDER BY kg DESC NULLS LAST, rank1, id) AS r3
     FROM (SELECT c.*, rho, CASE WHEN abs(rho) < 0.05 THEN NULL ELSE s2 END AS t, 1.0::DOUBLE / (1 + f.hop) AS kg FROM cand c JOIN rho USING (query_id) LEFT JOIN f2 f ON f.query_id = c.query_id AND f.node_type = 'image' AND f.node_idx = c.id) WINDOW w AS (PARTITION BY query_id)))) WHERE rank <= 10""", "cand", "rho", "f2")
+ORACLE_SQL |= {
+    "load_captions": "SELECT p_brand AS image_name, p_partkey::VARCHAR AS comment_number, trim(p_name) AS caption FROM part",
+    "load_captions_counts": "SELECT count(DISTINCT p_brand) AS n_images, count(*) AS n_captions FROM part",
+    "embeddings_store": sql("SELECT id, round(list_sum(v), 6) AS total, 'given' AS model FROM raw", "raw"),
+    "index_store": ORACLE_SQL["ivf_probe_topk"],
+    "index_stats": "SELECT 2 * count(*) AS n_vectors, 64::BIGINT AS dimension, 'flat' AS index_type, 'cosine' AS metric FROM embeddings",
+    "index_add_keeps_ids": sql("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, round(score, 6) AS score FROM (SELECT query_id, id, score FROM near WHERE rank <= 4 UNION ALL SELECT query_id, id + 1000000, score FROM near WHERE rank <= 4) QUALIFY rank <= 4", "near"),
+    "ivf_trained_recall": "SELECT 10 * count(*) AS n, true AS enough FROM benchmark",
+    "lsh_recall": "SELECT 10 * count(*) AS n, true AS enough FROM benchmark",
+    "search_without_index": ORACLE_SQL["knn_cosine_top10"],
+    "graph_store": sql("SELECT src_type || '-' || edge_type AS kind, count(*) AS n, 0::BIGINT AS n_texts FROM edges GROUP BY 1 UNION ALL SELECT 'image', count(*), 0 FROM img UNION ALL SELECT 'caption', count(*), count(text) FROM cap", "edges", "img"),
+    "graph_pipeline": sql("""SELECT 'caption' AS src_type, 'paired_with' AS edge_type, 'image' AS dst_type, count(*) AS n_edges FROM cap UNION ALL
+        SELECT 'caption', 'cooccur', 'caption', count(*) FROM cap a JOIN cap b ON a.image = b.image AND a.id <> b.id HAVING count(*) > 0 UNION ALL
+        SELECT 'image', 'sem_sim', 'image', least(8, count(DISTINCT image) - 1) * count(DISTINCT image) FROM cap UNION ALL SELECT 'caption', 'sem_sim', 'caption', least(8, count(*) - 1) * count(*) FROM cap""", "cap"),
+    "results_store": sql(f"SELECT n, round(recall_at_10, 6) AS recall_at_10, round(mrr, 6) AS mrr FROM ({_metrics(_ranks('near'))})", "near", "q"),
+    "node_json": "SELECT vec_id AS node_idx, vec_id::VARCHAR AS ext_id, 'image' AS node_type FROM embeddings",
+    "aligned_vectors": sql("SELECT id, round(v[1]::FLOAT::DOUBLE, 6) AS first, round(sqrt(list_dot_product(f, f)), 6) AS norm FROM (SELECT *, v::FLOAT[]::DOUBLE[] AS f FROM img)", "img"),
+    "encode_given_vectors": sql("SELECT id, round(v[2]::FLOAT::DOUBLE, 6) AS second, round(sqrt(list_dot_product(f, f)), 6) AS norm FROM (SELECT *, v::FLOAT[]::DOUBLE[] AS f FROM img)", "img"),
+    "fusion_lower_is_better": ORACLE_SQL["hybrid_search"].replace("/ 101.0::DOUBLE AS s2", "/ -101.0::DOUBLE AS s2"),
+    "fusion_constant_scores": sql("SELECT query_id, rank, id, round(0.6::DOUBLE * (score - lo) / (hi - lo), 6) AS score, 'weighted' AS branch FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM near WHERE rank <= 30 WINDOW w AS (PARTITION BY query_id)) WHERE rank <= 10", "near"),
+    "yesno_missing": "SELECT event_id, CASE WHEN event_type <> 'click' THEN round(1 / (1 + exp(0.5 - value / 50)), 6) END AS p FROM events",
+    "hit_rates": "SELECT event_type, count(*) AS n, count(*) FILTER (value < 20) AS hits, round(count(*) FILTER (value < 20) / count(*)::DOUBLE, 6) AS hit_rate FROM events GROUP BY event_type",
+    "edges_summary": sql("""SELECT query_id, string_agg(edge_type || '=' || n, ',' ORDER BY edge_type) AS edges_summary FROM (SELECT a.query_id, e.edge_type, count(*) AS n FROM edges e
+        JOIN f2 a ON a.node_type = e.src_type AND a.node_idx = e.src JOIN f2 b ON b.node_type = e.dst_type AND b.node_idx = e.dst AND b.query_id = a.query_id GROUP BY 1, 2) GROUP BY query_id""", "f2", "edges"),
+    "ablation_grid": "SELECT beam, hops, k_seed, decay, kg_weight FROM (SELECT unnest([10, 20])::BIGINT AS beam), (SELECT unnest([1, 2])::BIGINT AS hops), (SELECT unnest([5, 10, 15])::BIGINT AS k_seed), (SELECT unnest([0.8, 0.85, 0.9])::DOUBLE AS decay), (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS kg_weight)",
+}
+# the gate over captions with the overlap of tokens as the second score
+_OVERLAP = f"""SELECT query_id, n.id, rank AS rank1, score AS s1, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE END AS s2 FROM cnear n
+    JOIN (SELECT query_id, {TOKENS.format(t='text')} AS a FROM q) USING (query_id) JOIN (SELECT id, {TOKENS.format(t='text')} AS b FROM cap) c ON c.id = n.id WHERE rank <= 30"""
+_with_captions = sql("", "cnear", "q").rstrip()
+ORACLE_SQL["hybrid_captions_jaccard"] = _with_captions + ",\n" + ",\n".join(f"{n} AS ({_OVERLAP if n == 'cand' else CTES[n][1]})" for n in ("cand", "rho", "gate", "zed", "hyb")) + "\nSELECT query_id, rank, id, round(score, 6) AS score, branch FROM hyb WHERE rank <= 10"
+_kg = ORACLE_SQL["kg_fusion"].replace("round(score, 6) AS score", "score")
+ORACLE_SQL["graph_mode_metrics"] = f"SELECT n, {METRIC_ROUND} FROM ({_metrics('SELECT q.query_id, n.rank FROM q LEFT JOIN kgf n ON n.query_id = q.query_id AND n.id = q.gt')})"
+_head, _, _tail = _kg.rpartition("\nSELECT query_id, rank, id,")
+ORACLE_SQL["graph_mode_metrics"] = _head + ",\nkgf AS (SELECT query_id, rank, id," + _tail + ")\n" + ORACLE_SQL["graph_mode_metrics"]
+# greedy picks, one after another
+_steps = ["m0 AS (SELECT near.query_id, near.id, score, img.v FROM near JOIN img USING (id) WHERE rank <= 30)", "k1 AS (SELECT query_id, id, v, 0.7::DOUBLE * score AS value, 1 AS rank FROM m0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.7::DOUBLE * score DESC, score DESC, id) = 1)"]
+for _i in range(2, 6):
+    _held = " UNION ALL ".join(f"SELECT * FROM k{_j}" for _j in range(1, _i))
+    _steps.append(f"""k{_i} AS (SELECT query_id, id, v, value, {_i} AS rank FROM (SELECT m.query_id, m.id, any_value(m.v) AS v, any_value(m.score) AS score, 0.7::DOUBLE * any_value(m.score) - 0.3::DOUBLE * max(list_dot_product(m.v, h.v)) AS value
+        FROM m0 m JOIN ({_held}) h USING (query_id) WHERE (m.query_id, m.id) NOT IN (SELECT (query_id, id) FROM ({_held})) GROUP BY m.query_id, m.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, score DESC, id) = 1)""")
+ORACLE_SQL["mmr_top5"] = sql("", "near", "img").rstrip() + ",\n" + ",\n".join(_steps) + "\nSELECT query_id, rank::BIGINT AS rank, id, round(value, 6) AS mmr FROM (" + " UNION ALL ".join(f"SELECT * FROM k{_j}" for _j in range(1, 6)) + ")"

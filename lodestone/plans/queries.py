@@ -14,8 +14,11 @@ from ..operators import expand as ex
 from ..operators import fusion as fu
 from ..operators import graph as g
 from ..operators import ingest, knn, metrics, profile, search, seeds
+from ..sources import captions as src
+from ..sources import stores
 from ..streaming.search import windowed_latency
 from . import derived as d
+from . import graph_mode, jobs
 from .engine import settings_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,8 +169,7 @@ def l2_normalize(spark, sf):
 
 @query
 def unit_norm_check(spark, sf):
-    off = F.abs(fv.norm(F.col("embedding")) - 1)
-    return d.images(spark, sf).agg(F.max(off).alias("max_off"), F.avg(off).alias("mean_off"), F.count_if(off > 1e-4).alias("n_off"))
+    return fv.unit_norm_report(d.images(spark, sf))
 
 
 @query
@@ -245,7 +247,7 @@ def prompts(spark, sf):
 @query
 def names_and_numbers(spark, sf):
     p = d.table(spark, sf, "part")
-    return p.select("p_partkey", F.replace(F.concat_ws("/", "p_brand", "p_type"), F.lit("/"), F.lit("-")).alias("name"), F.format_number(F.col("p_partkey") * 1000, 0).alias("shown"))
+    return p.select("p_partkey", ft.safe_name(F.col("p_brand"), F.col("p_type")).alias("name"), ft.grouped_number(F.col("p_partkey") * 1000).alias("shown"))
 
 
 @query
@@ -307,19 +309,19 @@ def text_to_image(spark, sf):
 
 @query
 def image_to_text(spark, sf):
-    q = d.images(spark, sf).where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    q = d.images(spark, sf).select(F.col("id").alias("query_id"), "embedding")
     return search.batch_search(q, d.captions(spark, sf), "image_to_text", 3)
 
 
 @query
 def image_to_image(spark, sf):
-    q = d.images(spark, sf).where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    q = d.images(spark, sf).select(F.col("id").alias("query_id"), "embedding")
     return search.image_to_image(q, d.images(spark, sf), 5, exclude_self=True)
 
 
 @query
 def image_to_image_hybrid(spark, sf):
-    q = d.images(spark, sf).where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    q = d.images(spark, sf).select(F.col("id").alias("query_id"), "embedding")
     return search.image_to_image_hybrid(q, d.images(spark, sf), 50, 10)
 
 
@@ -340,14 +342,14 @@ def node_index(spark, sf):
 @query
 def paired_edges(spark, sf):
     c = d.captions(spark, sf).select(F.col("id").alias("node_idx"), F.col("image").alias("image_id"))
-    i = d.images(spark, sf).where("id % 4 <> 1").select(F.col("id").alias("ext_id"), F.col("id").alias("node_idx"))
+    i = d.images(spark, sf).select(F.col("id").alias("ext_id"), F.col("id").alias("node_idx"))
     return g.paired_edges(c, i).select("src", "dst")
 
 
 @query
 def unpaired_captions(spark, sf):
     c = d.captions(spark, sf).select(F.col("id").alias("node_idx"), F.col("image").alias("image_id"))
-    i = d.images(spark, sf).where("id % 4 <> 1").select(F.col("id").alias("ext_id"), F.col("id").alias("node_idx"))
+    i = d.images(spark, sf).where("label <> 1").select(F.col("id").alias("ext_id"), F.col("id").alias("node_idx"))  # images of one class aren't known
     return g.unpaired(c, i).select("node_idx")
 
 
@@ -445,7 +447,7 @@ def settings(spark, sf):
 @query
 def closest_setting(spark, sf):
     e = d.table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("ms"))
-    return e.agg(F.min_by("event_type", F.struct(F.abs(F.col("ms") - 50), "event_type")).alias("event_type"))
+    return profile.closest_setting(e, "event_type", "ms", 50)
 
 
 # expansion
@@ -482,3 +484,166 @@ def kg_fusion(spark, sf):
 def context_payload(spark, sf):
     c = ex.context(_expanded(spark, sf), d.captions(spark, sf))
     return c.select("query_id", F.concat_ws("|", "texts").alias("texts"), F.concat_ws(",", F.col("image_ids").cast("array<string>")).alias("image_ids"), F.concat_ws(",", F.col("caption_ids").cast("array<string>")).alias("caption_ids"))
+
+
+# sources and sinks
+
+
+@query
+def load_captions(spark, sf):
+    path = d.scratch(spark, "captions")
+    p = d.table(spark, sf, "part").select(F.concat(F.col("p_brand"), F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |  "), F.col("p_name"), F.lit(" ")).alias("value"))
+    p.write.text(path)
+    return src.load_captions(spark, path, header=False).select("image_name", "comment_number", "caption")
+
+
+@query
+def load_captions_counts(spark, sf):
+    path = d.scratch(spark, "captions")
+    p = d.table(spark, sf, "part").select(F.concat_ws(" | ", "p_brand", F.col("p_partkey").cast("string"), "p_name").alias("value"))
+    p.write.text(path)
+    return profile.caption_counts(src.load_captions(spark, path, header=False))
+
+
+@query
+def embeddings_store(spark, sf):
+    path = d.scratch(spark, "embeddings")
+    stores.save_embeddings(d.images(spark, sf).select("id", "embedding"), path, {"model": "given"})
+    rows, meta = stores.load_embeddings(spark, path)
+    return rows.select("id", fv.total(fv.doubles(F.col("embedding"))).alias("total"), F.lit(meta["model"]).alias("model"))
+
+
+@query
+def index_store(spark, sf):
+    path = d.scratch(spark, "index")
+    i = d.images(spark, sf).select("id", "embedding", F.col("label").cast("long").alias("list_id"))
+    stores.save_index(i, stores.IndexSpec(64, "ivf", nlist=10, nprobe=2), path, knn.label_centroids(d.images(spark, sf)))
+    return jobs.open_index(spark, path)(d.queries(spark, sf), 10)
+
+
+@query
+def index_stats(spark, sf):
+    path = d.scratch(spark, "index")
+    jobs.build_index(d.images(spark, sf), stores.IndexSpec(64), path)
+    rows, spec = stores.load_index(spark, path)
+    more = rows.select((F.col("id") + 1_000_000).alias("id"), "embedding")
+    return stores.index_stats(knn.add_rows(rows, more), spec)
+
+
+@query
+def index_add_keeps_ids(spark, sf):
+    i = d.images(spark, sf).select("id", "embedding")
+    grown = knn.add_rows(i, i.select((F.col("id") + 1_000_000).alias("id"), "embedding"))
+    return knn.knn_join(d.queries(spark, sf), grown, 4)
+
+
+@query
+def ivf_trained_recall(spark, sf):
+    lists, centroids = knn.build_ivf(d.images(spark, sf), 16)
+    found = knn.ivf_search(d.queries(spark, sf), lists, centroids, 10, 12)
+    return knn.recall(found, _near(spark, sf)).select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def lsh_recall(spark, sf):
+    found = knn.lsh_search(d.queries(spark, sf), d.images(spark, sf), 10)
+    return knn.recall(found, _near(spark, sf)).select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def search_without_index(spark, sf):
+    return knn.search_index(d.queries(spark, sf), d.images(spark, sf), 10, None)
+
+
+@query
+def graph_store(spark, sf):
+    path = d.scratch(spark, "graph")
+    stores.save_graph(d.nodes(spark, sf), d.edges(spark, sf), path)
+    nodes, edges = stores.load_graph(spark, path, 64)
+    n = nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("n"), F.count("text").alias("n_texts"))
+    return n.unionByName(edges.groupBy(F.concat_ws("-", "src_type", "edge_type").alias("kind")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("n_texts")))
+
+
+@query
+def graph_pipeline(spark, sf):
+    c = d.captions(spark, sf).select("id", F.col("image").alias("image_id"), "text", "embedding", F.col("id").alias("row_pos"))
+    i = d.images(spark, sf).select(F.col("id").alias("image_id"), "embedding")
+    nodes, edges = jobs.build_stored_graph(c, i, d.scratch(spark, "graph"), 8, 8, 64)
+    return g.edge_counts(edges)
+
+
+@query
+def results_store(spark, sf):
+    path = d.scratch(spark, "results")
+    stores.save_results(metrics.metrics(_ranks(spark, sf, _near(spark, sf))), path)
+    return spark.read.json(path).select("n", "recall_at_10", "mrr")
+
+
+@query
+def node_json(spark, sf):
+    return g.node_json(d.nodes(spark, sf).where("node_type = 'image'")).select("node_idx", F.get_json_object("json", "$.ext_id").alias("ext_id"), F.get_json_object("json", "$.node_type").alias("node_type"))
+
+
+# alignment, scorers and gates
+
+
+@query
+def aligned_vectors(spark, sf):
+    threefold = d.images(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x * 3))
+    return fv.aligned(threefold, 64).select("id", F.col("embedding")[0].alias("first"), fv.norm(F.col("embedding")).alias("norm"))
+
+
+@query
+def encode_given_vectors(spark, sf):
+    given = d.images(spark, sf).select("id", F.transform("embedding", lambda x: x.cast("double") * 2).alias("query"))
+    return search.encode_query(given, "vector", 64).select("id", F.col("embedding")[1].alias("second"), fv.norm(F.col("embedding")).alias("norm"))
+
+
+@query
+def fusion_lower_is_better(spark, sf):
+    return fu.fuse(_candidates(spark, sf), 10, fu.FusionConfig(higher_is_better=False))
+
+
+@query
+def fusion_constant_scores(spark, sf):
+    return fu.fuse(_candidates(spark, sf).withColumn("s2", F.lit(0.5)), 10)
+
+
+@query
+def yesno_missing(spark, sf):
+    e = d.table(spark, sf, "events")
+    none = F.lit(None).cast("array<double>")
+    logits = e.select("event_id", F.when(F.col("event_type") != "click", F.array(F.col("value") / 50)).otherwise(none).alias("yes"), F.array(F.lit(0.5)).alias("no"))
+    return logits.select("event_id", ft.yes_probability(F.col("yes"), F.col("no")).alias("p"))
+
+
+@query
+def hit_rates(spark, sf):
+    return profile.hit_rates(d.table(spark, sf, "events"), "event_type", F.col("value") < 20)
+
+
+@query
+def hybrid_captions_jaccard(spark, sf):
+    q, c = d.queries(spark, sf), d.captions(spark, sf)
+    return search.hybrid_search(q, c, search.jaccard_scorer(q, c), 30, 10)
+
+
+# graph mode
+
+
+@query
+def edges_summary(spark, sf):
+    s = ex.edges_summary(_expanded(spark, sf), d.edges(spark, sf))
+    return s.select("query_id", F.concat_ws(",", F.transform(F.array_sort(F.map_entries("edges_summary")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))).alias("edges_summary"))
+
+
+@query
+def graph_mode_metrics(spark, sf):
+    q, i, c, e = d.queries(spark, sf), d.images(spark, sf), d.captions(spark, sf), d.edges(spark, sf)
+    return graph_mode.evaluate(q, graph_mode.graph_search(q, i, c, e, d.synthetic_scores, config=graph_mode.GraphConfig(k_seed=5)))
+
+
+@query
+def ablation_grid(spark, sf):
+    rows = [(c.beam, c.hops, c.k_seed, c.decay, c.kg_weight) for c in graph_mode.grid()]
+    return spark.createDataFrame(rows, "beam long, hops long, k_seed long, decay double, kg_weight double")

@@ -15,9 +15,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def load_captions(spark: SparkSession, path: str) -> DataFrame:
+def load_captions(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """A table with ``|`` between fields and a header; all values are stripped and the columns get fixed names. row_pos gives the order of rows."""
-    raw = spark.read.option("sep", "|").option("header", True).option("quote", "").schema("a string, b string, c string").csv(path)
+    raw = spark.read.option("sep", "|").option("header", header).option("quote", "").schema("a string, b string, c string").csv(path)
     named = raw.select(*[F.trim(c).alias(n) for c, n in zip("abc", COLUMNS, strict=True)])
     return named.withColumn("row_pos", F.monotonically_increasing_id())
 
