@@ -1,6 +1,7 @@
 import pytest
 
-from lodestone.operators import graph, ingest, profile, seeds
+from lodestone.operators import graph, ingest, profile, search, seeds
+from lodestone.plans import jobs
 from lodestone.sources import captions as src
 from lodestone.sources import stores
 
@@ -68,3 +69,65 @@ def test_stores(spark, tmp_path):
     assert stores.load_index(spark, str(tmp_path / "i"))[1] == stores.IndexSpec(1)
     with pytest.raises(ValueError):
         stores.IndexSpec(1, "tree")
+
+
+def test_stores_are_atomic(spark, tmp_path):
+    path = str(tmp_path / "s")
+    one, two = (spark.createDataFrame([(i, [1.0])], "id long, embedding array<float>") for i in (1, 2))
+    stores.save_embeddings(one, path)
+    held = stores.load_embeddings(spark, path)[0]
+    version = stores.new_version(path)
+    two.write.parquet(f"{version}/rows")  # a writer that dies before it publishes
+    assert stores.load_embeddings(spark, path)[0].first().id == 1
+    stores.save_embeddings(two, path)
+    assert stores.load_embeddings(spark, path)[0].first().id == 2 and held.first().id == 1  # who has begun reads on
+    stores.save_embeddings(one, path)
+    assert len([x for x in (tmp_path / "s").iterdir() if x.name.startswith("v-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        stores.load_index(spark, str(tmp_path / "none"))
+
+
+def test_graph_of_another_type_is_refused(spark, tmp_path):
+    nodes, caps, imgs = _graph(spark)
+    edges = graph.paired_edges(caps, imgs)
+    stores.save_graph(nodes.withColumn("embedding", nodes.embedding.cast("array<double>")), edges, str(tmp_path / "d"))
+    with pytest.raises(ValueError, match="float"):
+        stores.load_graph(spark, str(tmp_path / "d"))
+
+
+def test_jobs(spark, tmp_path):
+    caps = spark.createDataFrame([(0, "a dog runs"), (1, None), (2, "a cat"), (3, " ")], "id long, caption string")
+    rows = jobs.embed_captions(caps, lambda: search.HashEncoder(8), str(tmp_path / "t"))
+    assert sorted(r.id for r in rows.collect()) == [0, 2] and stores.load_embeddings(spark, str(tmp_path / "t"))[1] == {"model_type": "HashEncoder", "dim": 8}
+    images = spark.createDataFrame([(0, b"x"), (1, None)], "id long, content binary")
+    assert jobs.embed_images(images, lambda: search.HashEncoder(8), str(tmp_path / "i")).count() == 1
+    points = jobs.random_vectors(spark.range(40), 6)
+    assert points.collect() == jobs.random_vectors(spark.range(40), 6).collect()
+    q = points.where("id < 5").withColumnRenamed("id", "query_id")
+    for kind in ("flat", "ivf", "lsh"):
+        jobs.build_index(points, stores.IndexSpec(6, kind, nlist=4, nprobe=4), str(tmp_path / kind))
+        found = jobs.open_index(spark, str(tmp_path / kind))(q, 1)
+        assert {(r.query_id, r.id) for r in found.collect()} == {(i, i) for i in range(5)}
+    with pytest.raises(ValueError):
+        jobs.build_index(points, stores.IndexSpec(6, "ivf", nlist=99), str(tmp_path / "few"))
+
+
+def test_stored_graph(spark, tmp_path):
+    caps = spark.createDataFrame([(i, i % 3, f"caption {i}", [1.0, float(i), 2.0], i) for i in range(9)], "id long, image_id long, text string, embedding array<double>, row_pos long")
+    images = spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in (0, 1, 5)], "image_id long, embedding array<double>")
+    nodes, edges = jobs.build_stored_graph(caps, images, str(tmp_path / "g"), 2, 2, 3)
+    assert {(r.src_type, r.edge_type): r.n_edges for r in graph.edge_counts(edges).collect()} == {("image", "sem_sim"): 2, ("caption", "sem_sim"): 18, ("caption", "paired_with"): 6, ("caption", "cooccur"): 18}
+    assert nodes.where("node_type = 'caption' AND text = 'caption 8'").count() == 1
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.jpg").write_bytes(b"abc")
+    names = spark.createDataFrame([("a.jpg",), ("b.jpg",)], "image_name string")
+    assert {r.image_name: r.content and bytes(r.content) for r in src.image_blobs(spark, names, str(tmp_path / "img")).collect()} == {"a.jpg": b"abc", "b.jpg": None}
+    report = {r.name: (r.there, r.n_jpg) for r in src.data_report(spark, {"x": str(tmp_path / "img"), "y": str(tmp_path / "no")}).collect()}
+    assert report == {"x": (True, 1), "y": (False, 0)}
+    stores.save_config({"a": 1}, str(tmp_path / "c.json"))
+    assert stores.load_config(str(tmp_path / "c.json")) == {"a": 1}
+    with pytest.raises(FileNotFoundError):
+        stores.load_config(str(tmp_path / "no.json"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as ft
 from lodestone.functions import vectors as fv
-from lodestone.operators import knn
+from lodestone.operators import knn, search
 
 
 def test_normalize(spark):
@@ -79,3 +79,90 @@ def test_knn_sql_takes_all_queries(spark):
         got = knn.knn_join_sql(q, x, 1).collect()
         knn.BLOCK = held
         assert sorted(r.query_id for r in got) == list(range(1500)) and all(r.id == (r.query_id > 1) or r.query_id == 1 for r in got)
+
+
+def test_blocks_beyond_a_broadcast(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    x = _points(spark, [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(120)])
+    q = x.withColumnRenamed("id", "query_id")
+    for metric in ("cosine", "euclidean"):
+        want = sorted(map(tuple, knn.knn_join(q, x, 7, metric, exclude_self=True).collect()))
+        monkeypatch.setattr(knn, "BROADCAST", 10)
+        monkeypatch.setattr(knn, "BLOCK", 60)
+        assert sorted(map(tuple, knn.knn_join(q, x, 7, metric, exclude_self=True).collect())) == want
+        monkeypatch.undo()
+    assert all(r[2] != r[0] for r in want) and len(want) == 7 * 120
+
+
+def test_trained_lists(spark):
+    import random
+
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    x = _points(spark, [(i, [c + rng.gauss(0, 0.2) for c in centres[i % 6]]) for i in range(300)])
+    q = x.where("id < 40").withColumnRenamed("id", "query_id")
+    lists, centroids = knn.build_ivf(x, 6)
+    assert lists.count() == 300 and lists.select("list_id").distinct().count() == 6
+    exact = knn.knn_join(q, x, 10)
+    assert knn.recall(knn.ivf_search(q, lists, centroids, 10, 2), exact).first().recall >= 0.9
+    assert sorted(map(tuple, knn.ivf_search(q, lists, centroids, 10, 6).collect())) == sorted(map(tuple, exact.collect()))
+    assert sorted(map(tuple, knn.search_index(q, x, 10, (lists, centroids), 6, exact_up_to=10).collect())) == sorted(map(tuple, exact.collect()))
+    with pytest.warns(UserWarning, match="index not used"):
+        assert knn.search_index(q, x, 10, (None, None)).count() == exact.count()
+
+
+def test_encoders_and_scorers(spark):
+    sizes: list = []
+
+    def tight(items):
+        sizes.append(len(items))
+        if len(items) > 3:
+            raise MemoryError
+        return [len(x) for x in items]
+
+    assert search.in_batches(tight, ["a"] * 10, 8) == [1] * 10 and sizes == [8, 4, 2, 2, 2, 2, 2]
+    with pytest.raises(MemoryError):
+        search.in_batches(lambda x: (_ for _ in ()).throw(MemoryError), ["a"], 4)
+
+    class Model:
+        higher_is_better = True
+
+        def score(self, texts, images):
+            if "bad" in texts:
+                raise RuntimeError
+            return [len(t) / (len(i) + len(t)) for t, i in zip(texts, images, strict=True)]
+
+    q = spark.createDataFrame([(0, "abc"), (1, "bad"), (2, None)], "query_id long, content string")
+    c = spark.createDataFrame([(7, bytearray(b"x"))], "id long, content binary")
+    pairs = spark.createDataFrame([(0, 7), (1, 7), (2, 7), (0, 8)], "query_id long, id long")
+    got = {(r.query_id, r.id): r.s2 for r in search.pair_scorer(q, c, Model)(pairs).collect()}
+    assert got == {(0, 7): 0.75, (1, 7): None, (2, 7): None, (0, 8): None}
+    swapped = search.pair_scorer(c.withColumnRenamed("id", "query_id"), q.withColumnRenamed("query_id", "id"), Model, "image", "text")
+    assert swapped(spark.createDataFrame([(7, 0)], "query_id long, id long")).first().s2 == 0.75
+    with pytest.raises(NotImplementedError):
+        search.pair_scorer(q, c, Model, "text", "text")
+    with pytest.raises(ValueError):
+        search.pair_scorer(q, c, Model, "sound", "image")
+    with pytest.raises(ValueError):
+        search.encode_query(q, "sound", 4)
+    given = spark.createDataFrame([([3.0, 4.0],)], "query array<double>")
+    assert [round(x, 6) for x in search.encode_query(given, "vector", 2).first().embedding] == [0.6, 0.8]
+    with pytest.raises(Exception, match="finite"):
+        search.encode_query(given, "vector", 3).collect()
+
+
+def test_yes_no_tokens(spark):
+    ids = {"yes": [5, 1], " yes": [6], "Yes": [5], " Yes": [], "no": [8], " no": [9], "No": [8], " No": [10]}
+    assert ft.yes_no_ids(ids.get) == ([5, 6], [8, 9, 10])
+    with pytest.raises(ValueError):
+        ft.yes_no_ids(lambda s: [])
+    row = spark.range(1).select(ft.picked_logits(F.array(*map(F.lit, [0.1, 0.2, 0.3])), [2, 0, 9]).alias("x")).first()
+    assert row.x == [0.3, 0.1]
+
+
+def test_alignment_warns(spark):
+    x = _points(spark, [(0, [3.0, 4.0]), (1, [1.0, 0.0])])
+    with pytest.warns(UserWarning, match="1 vectors"):
+        assert fv.aligned(x, 2, renorm=False, check_unit_norm=True).where("id = 0").first().embedding == [3.0, 4.0]
