@@ -150,16 +150,21 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, most: int = 10_000) -> Trees:
-    """Learn ``label`` from rows outside the held-out fold, at most ``most`` of each class, the first by the id's hash. Of labels that differ for one id the lower counts."""
+    """Learn ``label`` from rows outside the held-out fold, at most ``most`` of each class, the first by the id's hash.
+
+    Of labels that differ for one id the lower counts, of texts that share an id that with the least statistics; null ids and null labels teach nothing. Without
+    rows, or with one class only, the model gives the same score to all.
+    """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"))
     picked = sample_ids(known.where(fold(F.col("doc_id"), folds) != held), "y", most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # 2 * most ids
-    got = sorted(tuple(r) for r in with_statistics(rows, ["doc_id", "y"]).collect())
+    one = with_statistics(rows, ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("stats").alias("stats"))  # an id may be repeated
+    got = sorted(tuple(r) for r in one.collect())  # 2 * most rows
     return fit(np.array([r[2] for r in got]), np.array([r[1] for r in got]))
 
 
 def score(docs: DataFrame, model: Trees, keep: list[str], least: float = 0.7) -> DataFrame:
-    """The columns ``keep`` with score and predicted (1 if the score is at least ``least``). A null text is scored as an empty one."""
+    """The columns ``keep`` with score and predicted (1 if the score is at least ``least``). A null text is scored as an empty one; null and repeated ids don't matter."""
     ship(docs.sparkSession)
     own = docs.select(*keep, F.col("text").alias("_text"))
 

@@ -11,10 +11,12 @@ from ..session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` as a full URI; where it is unset (tests), a new folder."""
+    """The folder in ``spark.checkpoint.dir`` as a full URI. Where it is unset, local mode gets a new folder; a cluster, whose executors couldn't see it, raises."""
     ship(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", path)
     jvm = spark.sparkContext._jvm

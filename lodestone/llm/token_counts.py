@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +27,11 @@ def tokenizer_digest(path: str) -> str:
 
 
 def read_cache(spark: SparkSession, cache_dir: str) -> DataFrame:
-    try:
+    """The stored counts; none if there is no such folder yet. Any other trouble raises."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_dir)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.read.schema(CACHE_SCHEMA).parquet(cache_dir)
-    except AnalysisException:  # nothing stored yet
-        return spark.createDataFrame([], CACHE_SCHEMA)
+    return spark.createDataFrame([], CACHE_SCHEMA)
 
 
 def _digest(text, folded: bool):

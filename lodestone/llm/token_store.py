@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -24,6 +24,8 @@ from .shared import new_dir, open_store, put_file, stash, table
 MAGIC, BLOCK = b"LSDAC001", 512
 #: Ids in a file, at most, but for a longer document. A task holds one file's ids at a time.
 FILE_IDS = 4 << 20
+#: Tasks that read files, at most; a task reads its files one by one.
+MOST_TASKS = 100_000
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], offsets: np.ndarray) -> list[bytes]:
@@ -95,7 +97,7 @@ class TokenFile:
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every text, append ``end_id`` and write files under ``out_dir`` in ascending order of ids.
 
-    Returns the manifest: file, first_doc, n_docs, n_ids. A null text counts as empty; a null id comes first and is kept; rows of
+    Returns the manifest: file, part and k (which give the order of files), first_doc, n_docs, n_ids. A null text counts as empty; a null id comes first and is kept; rows of
     one id lie beside each other, ordered by text.
     """
 
@@ -112,7 +114,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
                 path = f"{out_dir}/{part:06d}-{k:05d}.dac"
                 ids = np.concatenate(held)
                 put_file(path, pack(ids, names, np.concatenate([[0], np.cumsum(sizes)])))
-                rows.append({"file": path, "first_doc": names[0], "n_docs": len(names), "n_ids": len(ids)})
+                rows.append({"file": path, "part": part, "k": k, "first_doc": names[0], "n_docs": len(names), "n_ids": len(ids)})
                 k += 1
                 names.clear(), held.clear(), sizes.clear()
 
@@ -127,22 +129,23 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
                     names.append(name), held.append(one), sizes.append(len(one))
                     total += len(one)
         flush()
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("k", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(write, "file string, first_doc long, n_docs long, n_ids long")
+    return rows.mapInArrow(write, "file string, part int, k int, first_doc long, n_docs long, n_ids long")
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Per document of the files: doc_id, start (ids before it over all files), n_tokens, ids_crc32 and, if asked for, ids."""
-    spark = manifest.sparkSession
-    files = sorted(manifest.collect(), key=lambda r: (r.first_doc is not None, r.first_doc or 0, r.file))  # a row for each file of some million ids
-    starts = [0, *np.cumsum([r.n_ids for r in files]).tolist()]
+    """Per document of the files: doc_id, start (ids before it over all files), n_tokens, ids_crc32 and, if asked for, ids. The manifest is a stored table.
+
+    A file's start is the sum over the parts before its own, of which there is one for each task that wrote, and over the files before it in its part.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    if not files:
-        return spark.createDataFrame([], schema)
+    ahead = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", ahead(Window.orderBy("part")).alias("base"))
+    files = manifest.withColumn("within", ahead(Window.partitionBy("part").orderBy("k"))).join(parts, "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +164,8 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     out["ids"] = pa.array(ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    listed = spark.createDataFrame([(r.file, s) for r, s in zip(files, starts, strict=False)], "file string, start long")
-    return listed.repartition(len(files)).mapInArrow(read, schema)
+    listed = files.select("file", (F.col("base") + F.col("within")).alias("start"))
+    return listed.repartition(max(1, min(manifest.count(), MOST_TASKS))).mapInArrow(read, schema)
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

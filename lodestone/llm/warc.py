@@ -181,7 +181,7 @@ def write_archives(pages: DataFrame, out_dir: str, least: int = 0, sample_rows:
 
 
 def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records of archives (column file): page_id, payload_bytes, payload_digest, record_type, refers_to, uri, date and, if asked for, payload."""
+    """The records of archives (column file of a stored table): page_id, payload_bytes, payload_digest, record_type, refers_to, uri, date and, if asked for, payload."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "date"] + ["payload"] * with_payload
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
 
@@ -197,10 +197,8 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                     rows.append((_page(h["warc-record-id"]), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _page(to) if to else None, h["warc-target-uri"], h["warc-date"], block)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    spark = files.sparkSession
-    listed = spark.createDataFrame(files.select("file").collect(), "file string")  # a row for each file of some megabytes
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, date string" + ", payload binary" * with_payload
-    return listed.repartition(max(1, min(listed.count(), 10_000))).mapInArrow(read, schema)
+    return files.select("file").repartition(max(1, min(files.count(), 100_000))).mapInArrow(read, schema)  # a file or more for each task
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Classifiers by held-out accuracy, WARC by round trips, and the pipeline."""
 
 import os
+import re
 import struct
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import language_id, quality, warc
-from lodestone.llm.shared import new_dir
+from lodestone.llm.shared import new_dir, stash
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -53,8 +55,45 @@ def test_stages_of_the_pipeline(spark):
     assert kept.columns == corpus_pipeline.COLUMNS
     got = sorted((str(r.doc_id), r.text.lower()) for r in kept.collect())
     assert got == sorted([("0", texts[0]), ("1", texts[1]), ("None", texts[2]), ("None", texts[3]), ("2", texts[4])])
-    more = spark.createDataFrame([(1, texts[0], "en", "s", 9), (1, texts[1], "en", "s", 9), (None, texts[2], "en", "s", 9)], kinds)
-    assert corpus_pipeline.drop_repeats(spark, more, "").count() == 3
+    more = spark.createDataFrame([(1, texts[0], "en", "s", 9), (1, texts[1], "en", "s", 9), (None, texts[2], "en", "s", 9), (1, texts[1], "en", "s", 9), (2, None, None, "s", 0), (3, "", None, "s", 0)], kinds)
+    assert corpus_pipeline.drop_repeats(spark, more, "").count() == 6
+    long = " ".join(f"word{i}" for i in range(60))
+    more = spark.createDataFrame([(1, texts[0] + long, "en", "s", 9), (2, long + texts[1], "en", "s", 9), (3, long, "en", "s", 9), (4, long, "en", "s", 9)], kinds)
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, more, "").collect()} == {1: texts[0], 2: texts[1]}
+    item = " ".join(f"item{i}" for i in range(15))
+    bench = new_dir(spark, "bench")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{bench}/benchmark.parquet")
+    more = spark.createDataFrame([(1, texts[0] + " " + item, "en", "s", 9), (1, texts[1], "en", "s", 9), (1, texts[1], "en", "s", 9), (None, item, "en", "s", 9), (2, None, None, "s", 0), (3, "", None, "s", 0)], kinds)
+    left = corpus_pipeline.decontaminate(spark, more, bench)
+    assert left.columns == corpus_pipeline.COLUMNS and sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(str(x) for x in [(1, texts[1]), (1, texts[1]), (2, None), (3, "")])
+    nothing = spark.createDataFrame([], kinds)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, bench).count() == 0
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert language_id.train(docs) is None and language_id.predict(docs, None, ["doc_id"]).count() == 0
+    assert quality.score(docs, quality.train(docs, labels), ["doc_id"]).count() == 0
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, "good words here. " * 5), (2, "BAD!! " * 9)]
+    docs = spark.createDataFrame(rows + [rows[0]] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.train(docs, labels).base == quality.train(spark.createDataFrame(rows, docs.schema), labels).base
+
+
+def test_features_of_long_texts():
+    text = "der hund und die katze, " * 5000
+    assert abs(language_id.features(text) - language_id.features(text, 1000)).max() < 1e-7
+
+
+def test_many_languages_stay_within_the_sample(spark):
+    rows = [(10 * k + i, f"l{k:02d}", f"{chr(97 + k % 26)}{chr(97 + k // 26)}qx " * 20) for k in range(40) for i in range(10)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), most=100)
+    assert sum(map(len, model.families.values())) == 40
 
 
 def test_quality(spark):
@@ -105,6 +144,85 @@ def test_warc_errors():
             list(warc.read_archive(data))
 
 
+def _kept_by_brute_force(rows):
+    """Of (doc_id, text), those of the smallest id in each group of texts alike in four fifths of their five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().encode().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [r for i, r in enumerate(rows) if find(i) == i]
+
+
+def _without_repeats(rows, width):
+    raws = [t.encode() for _, t in rows]
+    counts = Counter(r[i : i + width] for r in raws for i in range(len(r) - width + 1))
+    out = []
+    for (d, t), r in zip(rows, raws, strict=True):
+        gone = bytearray(len(r))
+        for i in range(len(r) - width + 1):
+            if counts[r[i : i + width]] > 1:
+                gone[i : i + width] = b"\1" * width
+        left = bytes(x for x, g in zip(r, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if left.strip() or not any(gone):
+            out.append((d, left if any(gone) else t))
+    return out
+
+
+def _holds_item(text, items):
+    w = re.sub(r"[^\w]+|_", " ", text.lower()).split()
+    at = defaultdict(set)
+    for i, x in enumerate(w):
+        at[x].add(i)
+    for item in items:
+        n = min(13, len(item))
+        hits = Counter()
+        for j, x in enumerate(item):
+            for i in at[x]:
+                hits[i - j] += 1
+        for shift, m in hits.items():
+            if m >= -(-4 * n // 5) and any(5 * sum(0 <= shift + j < len(w) and w[shift + j] == item[j] for j in range(a, a + n)) >= 4 * n for a in range(len(item) - n + 1)):
+                return True
+    return False
+
+
+@needs_data
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+    from lodestone.llm.bpe import Encoder, default_path
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs)
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if (p := model.predict(r.text))[0] != "und" and p[1] >= corpus_pipeline.SURE]
+    items = [re.sub(r"[^\w]+|_", " ", r.text.lower()).split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = [rows]
+    want.append(_kept_by_brute_force(want[-1]))
+    want.append(_without_repeats(want[-1], 240))
+    want.append([r for r in want[-1] if not _holds_item(r[1], [x for x in items if len(x) >= 8])])
+    for (name, stage), rows in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        docs = stash(stage(spark, docs, sf), name)
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == rows, name
+    enc = Encoder.at(default_path("byte_bpe_50k.json"))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    tokens = {d: len(enc.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in want[-1]}
+    total = Counter()
+    for r in pieces:
+        total[r.doc_id] += r.length
+    assert total == tokens and max(Counter(r.sequence_id for r in pieces).values()) > 1
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline

@@ -44,9 +44,14 @@ def test_packing(spark, capacity):
         assert 0 < r.length <= capacity == max(capacity, r.offset + r.length) and len(r.ids) == r.length
         assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
         by_doc.setdefault(r.doc_id, []).append(r)
-    rest = [r for d, rows in by_doc.items() if d != 7 for r in rows]
-    joined = sorted(tuple(x for r in sorted(rows, key=lambda r: r.start) for x in r.ids) for d, rows in by_doc.items() if d != 7)
-    assert joined == sorted(w for w in want if w != want[-1] or want.count(w) == 1)[: len(joined)] or len(rest) > 0
+    for d, t in [*((i, t) for i, t in enumerate(TEXTS) if i < 7), (None, "null id")]:  # each id in one piece: pieces follow each other and give the whole
+        rows, ids = sorted(by_doc.pop(d), key=lambda r: r.start), (*_ids(BYTE, t), 1)
+        assert [r.start for r in rows] == [sum(q.length for q in rows[:k]) for k in range(len(rows))]
+        assert tuple(x for r in rows for x in r.ids) == ids and all(r.doc_tokens == len(ids) for r in rows)
+    twice = (*_ids(BYTE, TEXTS[7]), 1)  # two rows of one id and text: each piece is there twice
+    assert set(by_doc) == {7} and TEXTS[7] == TEXTS[8]
+    pieces = sorted((r.start, tuple(r.ids)) for r in by_doc[7])
+    assert pieces == sorted(2 * [(s, twice[s : s + capacity]) for s in range(0, len(twice), capacity)])
     assert sum(r.length for r in got) == sum(map(len, want))
     for s in {r.sequence_id for r in got}:  # gapless from 0
         at = 0
