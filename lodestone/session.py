@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 #: Bytes in an Arrow batch on its way to Python, at most, where the session doesn't say: workers hold some batches at once.
-BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
