@@ -122,7 +122,7 @@ class _WordHashes(dict):
     """XXH3 of words, each worked out once; emptied when it has grown."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
