@@ -17,12 +17,23 @@ from ..operators.knn import semantic_edges
 from ..session import ship
 from ..sources.scratch import keep, scratch  # noqa: F401
 
+#: Bytes of a Parquet row group, as writers make them by default.
+UNCUT = 128 << 20
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, f"{sf_dir}/{name}.parquet") if name == "documents" else df
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Texts in a file too small to be cut (one row group) would all be worked on by one task: such a table is dealt to all cores first, any other is left as it is."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < UNCUT else df
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +45,14 @@ def _pick(df: DataFrame, vectors: DataFrame, key: str, to: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "queries", lambda: make_queries(spark, sf_dir))
+
+
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "captions", lambda: make_captions(spark, sf_dir))
+
+
+def make_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, text, gt, embedding): a blend of the true image's vector and two others."""
     i, b = images(spark, sf_dir), table(spark, sf_dir, "benchmark")
     n = i.count()
@@ -43,7 +62,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query_id", "text", "gt", l2_normalize(combine((w, F.col("v1")), (0.35, F.col("v2")), (0.3, F.col("v3")))).alias("embedding"))
 
 
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text, image, embedding): document d belongs to image d mod n."""
     i, d = images(spark, sf_dir), table(spark, sf_dir, "documents")
     n = i.count()
