@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
+from .ingest import positions
 from .knn import semantic_edges
 
 IMAGE, CAPTION, REGION = "image", "caption", "region"
@@ -19,15 +20,8 @@ EDGE = ["src_type", "src", "edge_type", "dst_type", "dst", "weight"]
 
 def node_index(df: DataFrame, ext_id: str, position: str) -> DataFrame:
     """Dense indices from 0 in order of first appearance: ranks within ranges of positions, plus the rows in ranges before."""
-    from pyspark.sql import Window
-
     firsts = df.groupBy(F.col(ext_id).alias("ext_id")).agg(F.min(position).alias("first_pos"))
-    size = 1_000_000
-    cells = firsts.withColumn("_cell", F.floor(F.col("first_pos") / size))
-    counts = cells.groupBy("_cell").agg(F.count("*").alias("_n"))  # a row per million positions
-    before = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("first_pos", "ext_id"))
-    return cells.withColumn("_r", rank - 1).join(before.select("_cell", "_base"), "_cell").select("ext_id", (F.col("_base") + F.col("_r")).cast("long").alias("node_idx"))
+    return positions(firsts, "first_pos", tie="ext_id").select("ext_id", F.col("_k").cast("long").alias("node_idx"))
 
 
 def _edges(df: DataFrame, src_type: str, kind: str, dst_type: str) -> DataFrame:

@@ -54,8 +54,17 @@ def test_queries(captions: DataFrame, n: int = 25, seed: int = 2025) -> DataFram
     return picked.select(F.col("p")[0]["caption"].alias("query"), F.col("image_name").alias("ground_truth"), F.slice(F.col("p.caption"), F.lit(2), F.size("p")).alias("alternatives"))
 
 
+def positions(df: DataFrame, order: str, cell: int = 1_000_000, tie: str | None = None) -> DataFrame:
+    """The rows with their place (column _k, from 0) in the order of a number, then of ``tie``: places within cells of that number, plus the rows in the cells before."""
+    rows = df.withColumn("_cell", F.floor(F.col(order) / cell))
+    counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))  # a row per cell
+    before = counts.select("_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_cell").orderBy(*[c for c in (order, tie) if c])) - 1)
+    return ranked.join(before, "_cell").withColumn("_k", F.col("_base") + F.col("_r")).drop("_cell", "_r", "_base")
+
+
 def every_nth(df: DataFrame, order: str, n_samples: int) -> DataFrame:
     """Systematic sample: of N rows in order, each (N / n_samples)-th from the first. Positions come from a table of the order column alone."""
     step = max(1, df.count() // n_samples)
-    place = df.select(order).withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
+    place = positions(df.select(order), order)
     return df.join(place.where(F.col("_k") % step == 0).select(order), order, "left_semi")

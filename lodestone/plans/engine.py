@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import warnings
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from itertools import product
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fusion import FusionConfig
 from ..operators.profile import hit_rate
-from ..operators.search import Scorer, hybrid_search
+from ..operators.search import Encoder, Scorer, hybrid_search
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,16 @@ class HybridConfig:
 
 
 class HybridEngine:
-    """Two-stage search over a corpus (id, embedding), with a bounded cache of collected results for single queries."""
+    """Two-stage search over a corpus (id, embedding), with a bounded cache of collected results for single queries.
 
-    def __init__(self, corpus: DataFrame, scorer: Scorer, config: HybridConfig = HybridConfig()):
-        self.corpus, self.scorer, self.config = corpus, scorer, config
+    ``make_scorer`` makes a scorer for a batch size, in place of ``scorer``, which has its own.
+    """
+
+    def __init__(self, corpus: DataFrame, scorer: Scorer | None = None, config: HybridConfig = HybridConfig(), make_scorer: Callable[[int], Scorer] | None = None):
+        if (scorer is None) == (make_scorer is None):
+            raise ValueError("either a scorer or make_scorer")
+        self.corpus, self.config = corpus, config
+        self.make_scorer = make_scorer or (lambda batch: scorer)
         self._cache: OrderedDict[tuple, list] = OrderedDict()
         self.reset_statistics()
 
@@ -51,7 +58,7 @@ class HybridEngine:
 
     def search(self, queries: DataFrame, k1: int | None = None, k2: int | None = None) -> DataFrame:
         """queries (query_id, embedding), any number."""
-        return hybrid_search(queries, self.corpus, self.scorer, k1 or self.config.k1, k2 or self.config.k2, self.config.fusion)
+        return hybrid_search(queries, self.corpus, self.make_scorer(self.config.batch_size), k1 or self.config.k1, k2 or self.config.k2, self.config.fusion)
 
     def search_one(self, query: list[float], k1: int | None = None, k2: int | None = None) -> list[tuple[int, float]]:
         k1, k2 = k1 or self.config.k1, k2 or self.config.k2
@@ -64,13 +71,25 @@ class HybridEngine:
         one = self.corpus.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<double>")
         got = [(r.id, r.score) for r in self.search(one, k1, k2).orderBy("rank").collect()]
         self.misses += 1
-        self.latencies.append((time.perf_counter() - began) * 1000)
+        took = (time.perf_counter() - began) * 1000
+        self.latencies.append(took)
+        self.last = {"encode_ms": 0.0, "search_ms": took, "total_ms": took, "qps": 1000 / took if took else 0.0}
         if self.config.use_cache:
             self._cache[key] = got
             while len(self._cache) > self.config.max_cache_size:
                 self._cache.popitem(last=False)
         return got
 
+    def search_text(self, text: str, model: Encoder, k1: int | None = None, k2: int | None = None) -> list[tuple[int, float]]:
+        """As ``search_one`` for a text that ``model`` encodes; ``last`` then parts its time."""
+        began = time.perf_counter()
+        vector = model.encode([text])[0]
+        encoded = (time.perf_counter() - began) * 1000
+        got = self.search_one(vector, k1, k2)
+        took = (time.perf_counter() - began) * 1000
+        self.last = {"encode_ms": encoded, "search_ms": took - encoded, "total_ms": took, "qps": 1000 / took if took else 0.0}
+        return got
+
     def clear_cache(self) -> None:
         self._cache.clear()
 
@@ -83,6 +102,7 @@ class HybridEngine:
     def reset_statistics(self) -> None:
         self.hits = self.misses = 0
         self.latencies: list[float] = []
+        self.last: dict[str, float] = {}
 
     def statistics(self) -> dict:
         """Counts, the share of look-ups that hit, and mean, median and high percentiles of latency where there was a search."""
@@ -94,12 +114,16 @@ class HybridEngine:
         return out
 
     def profile(self, queries: DataFrame, k1s: list[int], k2s: list[int], batch_sizes: list[int]) -> list[dict]:
-        """Mean latency per query for each setting with k1 >= k2, fastest first."""
-        n, out = max(queries.count(), 1), []
+        """Mean latency per query for each setting with k1 >= k2, fastest first; the engine's own settings stay."""
+        n, out, own = max(queries.count(), 1), [], self.config
         for k1, k2, b in product(k1s, k2s, batch_sizes):
             if k1 >= k2:
+                self.config = replace(own, batch_size=b)
                 began = time.perf_counter()
-                self.search(queries, k1, k2).write.format("noop").mode("overwrite").save()
+                try:
+                    self.search(queries, k1, k2).write.format("noop").mode("overwrite").save()
+                finally:
+                    self.config = own
                 out.append({"k1": k1, "k2": k2, "batch_size": b, "ms": (time.perf_counter() - began) * 1000 / n})
         return sorted(out, key=lambda r: r["ms"])
 
