@@ -1,17 +1,16 @@
 """Removal of repeated passages by threshold-bounded interval expansion over Burrows-Wheeler transforms.
 
-Every string of ``width`` bytes that starts at two places is found and all bytes it covers are removed. The bytes that strings of a
-smaller width (``passage``) cover can be counted in the same run.
+Every string of ``width`` bytes that starts at two places is found and all bytes it covers are removed. Shorter repeats can be counted beside
+that: of each string of ``passage`` bytes one k-gram at least is looked for in all texts.
 
 1. Equal texts are one row with a number of copies.
-2. Windows of the smaller width are dealt out by content: each belongs to the k-gram in it with the least hash, so equal windows have
+2. Windows of ``width`` bytes are dealt out by content: each belongs to the k-gram in it with the least hash, so equal windows have
    equal k-grams at equal places. Windows in a row with the same k-gram are a segment; a segment whose k-gram is nowhere else holds no
-   repeat. A segment's bytes reach ``width`` bytes beyond its last window's start, so that the longer strings with these starts lie in it
-   too. Equal segments are one row with a number of copies.
+   repeat. Equal segments are one row with a number of copies.
 3. Segments that share a k-gram meet in one task, which builds the Burrows-Wheeler transform of some megabytes of them, and
    expands intervals breadth first by backward extension: the boundaries between suffixes with a common prefix of 0, 1, 2, ...
-   bytes, in this order, up to ``width`` - 1. Suffixes that no boundary parts then share ``width`` bytes or more; those not parted
-   on the way at ``passage`` - 1 share so many. A k-gram whose segments are all copies of one needs no transform.
+   bytes, in this order, up to ``width`` - 1. Suffixes that no boundary parts then share ``width`` bytes or more. A k-gram whose segments
+   are all copies of one needs no transform.
 4. A k-gram with more than ``cap`` different segments (a passage in a large part of all texts) would be too much for one task: the windows of
    its segments are counted by their 128-bit hashes instead, each window by itself.
 """
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import discard, stash, table
 
-WIDTH, GRAM, CAP = 400, 128, 2000
+WIDTH, GRAM, CAP = 400, 128, 4000
 #: Width and k-gram that find repeated passages of 50 words, of which most take 250 to 350 bytes.
 PASSAGE, PASSAGE_GRAM = 240, 64
 #: Bytes of segments in one transform, but for a single k-gram's, and windows of a text that are dealt out at once.
@@ -50,8 +49,8 @@ def gram_hashes(b: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     return _mix(h[: len(h) - (k - n)] * ODD[2] + h[k - n :]) if n < k else h
 
 
-def segments(b: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, first window, last window) of the segments of a text, some at a time; windows are named by their starts."""
+def segments(b: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, first window, last window, k-gram) of the segments of a text, some at a time; windows and k-grams are named by their starts."""
     low = np.uint64((1 << 20) - 1)
     for at in range(0, len(b) - width + 1, SPAN):
         h = gram_hashes(b[at : at + SPAN + width - 1], gram)
@@ -63,7 +62,7 @@ def segments(b: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> Iterator[tu
         place = (m & low).astype(np.int64)
         cut = np.flatnonzero(np.diff(place)) + 1
         first, last = np.append(0, cut), np.append(cut, len(place)) - 1
-        yield h[place[first]].view(np.int64), first + at, last + at
+        yield h[place[first]].view(np.int64), first + at, last + at, place[first] + at
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
@@ -196,14 +195,13 @@ def _spans(cuts: list[tuple[int, int]]) -> list[list[int]]:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, passage: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept: the remaining text, without the pieces of
-    characters that were cut. With ``passage`` (at most ``width``, above ``gram``) also n_repeated: the bytes covered by strings of that many bytes that start
-    elsewhere too; these aren't removed.
+    characters that were cut. With ``passage`` (above ``gram``) also n_repeated: the bytes covered by strings of ``gram`` bytes that start elsewhere too, looked for
+    at so many places that each repeated string of ``passage`` bytes has one of them; these aren't removed.
 
     A null text counts as empty. Texts shorter than ``width`` lose nothing. Rows are judged on the input: a text that another row repeats loses all that is
     covered, in both rows. Null and repeated ids: each row is judged by itself.
     """
     spark = docs.sparkSession
-    widths = [passage, width] if passage and passage < width else [width]
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     digest = F.substring(F.unhex(F.sha2(raw, 256)), 1, 16)
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest")), "rows")
@@ -212,13 +210,34 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cap: i
     # bucketed by digest: read again and again, never dealt out again
     texts.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest").saveAsTable(name)
     try:
-        done = _per_text(spark.table(name), widths, gram, cap, with_text)
+        done = _per_text(spark.table(name), [width], gram, cap, with_text, passage)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return rows.join(done if passage else done.drop("n_repeated"), "digest").drop("digest")
 
 
-def _per_text(t: DataFrame, widths: list[int], gram: int, cap: int, with_text: bool) -> DataFrame:
+def _repeated_grams(t: DataFrame, passage: int, gram: int) -> DataFrame:
+    """(digest, grams): the starts of k-grams that stand elsewhere too, of one or more in each window of ``passage`` bytes."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, keys, places = [], [], []
+            for i, raw in enumerate(batch.column(1)):
+                for key, _, _, place in segments(np.frombuffer(raw.as_buffer(), np.uint8), passage, gram):
+                    fresh = np.append(True, place[1:] != place[:-1])
+                    which.append(np.full(int(fresh.sum()), i)), keys.append(key[fresh]), places.append(place[fresh])
+            if which:
+                take = pa.array(np.concatenate(which))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int32))], ["digest", "copies", "key", "place"])
+
+    picked = stash(t.where(F.octet_length("raw") >= passage).mapInArrow(pick, "digest binary, copies long, key long, place int"), "grams")
+    shared = stash(picked.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key"), "shared-grams")
+    out = stash(picked.join(shared, "key", "left_semi").groupBy("digest").agg(F.sort_array(F.collect_set("place")).alias("grams")), "repeated-grams")
+    discard(picked, shared)
+    return out
+
+
+def _per_text(t: DataFrame, widths: list[int], gram: int, cap: int, with_text: bool, passage: int | None) -> DataFrame:
     least, width = widths[0], widths[-1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +246,7 @@ def _per_text(t: DataFrame, widths: list[int], gram: int, cap: int, with_text: b
             for i, raw in enumerate(batch.column(1)):
                 for got in segments(np.frombuffer(raw.as_buffer(), np.uint8), least, gram):
                     which.append(np.full(len(got[0]), i))
-                    for c, x in zip(cols, got, strict=True):
+                    for c, x in zip(cols, got[:3], strict=True):
                         c.append(x)
             if which:
                 take = pa.array(np.concatenate(which))
@@ -325,15 +344,19 @@ def _per_text(t: DataFrame, widths: list[int], gram: int, cap: int, with_text: b
                 cuts = [_spans([(x["first"] + r["a"], x["first"] + r["b"] + w) for x in row["list"] or [] for r in x["runs"] if r["k"] == k]) for k, w in enumerate(widths)]
                 ends = [0, *(b for _, b in cuts[-1])]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in cuts[-1]), len(raw)], strict=True))
-                out.append((row["digest"], len(raw), len(raw) - len(kept), len(cuts[-1]), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in cuts[0]), kept.decode("utf-8", "ignore"))[: 6 + with_text])
+                near = sum(b - a for a, b in _spans([(p, p + gram) for p in row["grams"] or []])) if passage else 0
+                out.append((row["digest"], len(raw), len(raw) - len(kept), len(cuts[-1]), hashlib.sha256(kept).hexdigest(), near, kept.decode("utf-8", "ignore"))[: 6 + with_text])
             yield _batch(out, [("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64()), ("kept", pa.string())][: 6 + with_text])
 
-    done = t.join(spots, "digest", "left").mapInArrow(finish, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept string" * with_text)
+    both = t.join(spots, "digest", "left")
+    if passage:
+        both = both.join(_repeated_grams(t, passage, gram), "digest", "left")
+    done = both.mapInArrow(finish, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept string" * with_text)
     done = stash(done, "repeats")
     discard(marked, runs)
     return done
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns at 400 bytes, and beside them n_repeated: what passages of 240 bytes (some 50 words) or more cover."""
-    return remove_repeats(table(spark, sf_dir, "documents"), WIDTH, PASSAGE_GRAM, passage=PASSAGE)
+    """The contract's columns at 400 bytes, and beside them n_repeated, which is above 0 wherever a passage of 240 bytes (some 50 words) or more repeats."""
+    return remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
