@@ -63,6 +63,21 @@ def test_engine(spark):
         engine.update_config(colour=1)
     with pytest.raises(ValueError):
         search.batch_search(x, x, "sound_to_image")
+    sizes: list = []
+
+    def make(batch):
+        sizes.append(batch)
+        return lambda p: p.selectExpr("query_id", "id", "cast(id as double) as s2")
+
+    other = HybridEngine(x, config=HybridConfig(k1=5, k2=2), make_scorer=make)
+    q = spark.createDataFrame([(0, [5.0, 1.0])], "query_id long, embedding array<double>")
+    found = other.profile(q, [5], [2, 9], [3, 4])
+    assert sizes == [3, 4] and len(found) == 2 and other.config.batch_size == 8
+    assert other.optimize(found, 0).batch_size == found[0]["batch_size"]
+    assert other.search_text("a b", search.HashEncoder(2)) == other.search_one(search.HashEncoder(2).encode(["a b"])[0])
+    assert set(other.last) == {"encode_ms", "search_ms", "total_ms", "qps"} and other.statistics()["hits"] == 1
+    with pytest.raises(ValueError):
+        HybridEngine(x)
 
 
 def test_encode(spark):
