@@ -8,6 +8,9 @@ that hold a special token's string, go to the library whole. Both ways give the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import struct
@@ -200,6 +203,16 @@ class Encoder:
         return ids, upto[np.searchsorted(starts, bounds)]
 
 
+def release() -> None:
+    """Give back the memory of this worker's encoders: Python workers are used again by other operators, which don't need them."""
+    if Encoder._open:
+        Encoder._open.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 

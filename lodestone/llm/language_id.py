@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .bpe import release
 from .samples import fold
 from .shared import table
 
@@ -180,6 +181,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     at = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             got = [model.predict(t) if model else ("und", 0.0) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])

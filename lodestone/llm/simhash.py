@@ -16,7 +16,7 @@ similarity whose fingerprints are further apart come from ``set_join``, so that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb, log2
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .bpe import release
 from .components import connected_components
 from .set_join import similar_components
 from .shared import discard, stash, table
@@ -57,6 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     """(doc_id, fp long) per row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fps = np.array([fingerprint(x or "", words, seed) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
@@ -148,6 +150,15 @@ def text_digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
+#: The names of ``id_keys``.
+ID_KEYS = ["id_or_zero", "no_id"]
+
+
+def id_keys(name: str) -> list[Column]:
+    """An id that may be null as columns that aren't. Rows joined by these and then grouped by them are shuffled once, which a null-safe comparison doesn't allow."""
+    return [F.coalesce(F.col(name).cast("long"), F.lit(0)).alias(ID_KEYS[0]), F.col(name).isNull().alias(ID_KEYS[1])]
+
+
 def near_copy_components(docs: DataFrame, words: int = 5, least: float = 0.8, cell_cap: int = 64, radius: int = 2) -> DataFrame:
     """(doc_id, digest, component_id, kept): documents linked by a Jaccard similarity of their sets of ``words``-word shingles of at least ``least``.
 
@@ -156,11 +167,12 @@ def near_copy_components(docs: DataFrame, words: int = 5, least: float = 0.8, ce
     different texts links nothing. component_id is the smallest id of the component, null if none of its rows has an id. kept marks one row of each component:
     that of the smallest id, null only if there is no other, and the least digest. Null texts count as empty, and blank texts are linked.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
     ids = stash(rows.select("doc_id", "digest").distinct(), "digests")
     heads = stash(ids.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "heads")
-    own = heads.select(F.col("digest").alias("d"), "first", "node")
-    texts = rows.join(own, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["digest"]).select("node", "text")
+    own = heads.select("digest", *id_keys("first"), "node")
+    texts = rows.select("digest", *id_keys("doc_id"), "text").join(own, ["digest", *ID_KEYS]).dropDuplicates(["digest", *ID_KEYS]).select("node", "text")
     texts = stash(texts, "texts")
 
     fps = stash(fingerprints(texts, words, id_col="node"), "fingerprints")
@@ -171,14 +183,17 @@ def near_copy_components(docs: DataFrame, words: int = 5, least: float = 0.8, ce
     discard(fps, of_fp, close)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = _WordHashes()
         for batch in batches:
             sets = [shingle_set(x, words, known) for x in batch.column(1).to_pylist()]
             ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["node", "s"])
 
-    ship(docs.sparkSession)
-    found = similar_components(texts, lambda t: t.select("node", "text").mapInArrow(run, "node long, s array<bigint>"), least, cell_cap, candidates=candidates)
+    def to_sets(t: DataFrame, then: Callable = iter, schema: str = "node long, s array<bigint>") -> DataFrame:
+        return t.select("node", "text").mapInArrow(lambda batches: then(run(batches)), schema)
+
+    found = similar_components(texts, to_sets, least, cell_cap, candidates=candidates)
     discard(texts, candidates)
     by_text = stash(heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "by-text")
     best = by_text.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("best"))

@@ -4,11 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from lodestone.llm import simhash, spotsigs, suffix_dedup
+import corpus_pipeline
+from lodestone.llm import set_join, shared, simhash, spotsigs, suffix_dedup
 from lodestone.llm.components import connected_components
 from lodestone.llm.decontamination import contamination
 
@@ -131,6 +134,111 @@ def test_near_copies_of_every_kind_of_edit(spark):
     assert got == want
 
 
+def _spied(monkeypatch, module):
+    """The rows of each table that the module writes from now on, by name."""
+    made, stash = collections.defaultdict(list), module.stash
+
+    def spy(df, name):
+        out = stash(df, name)
+        made[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "stash", spy)
+    return made
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _variants(rng, base, edits):
+    """Sets with so many elements of base replaced by new ones."""
+    return [sorted(set(rng.sample(base, len(base) - n)) | {rng.getrandbits(60) for _ in range(n)}) for n in edits]
+
+
+def _to_sets(t, then=iter, schema="node long, s array<bigint>"):
+    return t.select("node", "s").mapInArrow(lambda batches: then(batches), schema)
+
+
+def _like(x, y):
+    return 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))
+
+
+def test_crowded_cells_of_the_same_sets_are_one(spark, monkeypatch):
+    rng = random.Random(18)
+    base = [rng.getrandbits(60) for _ in range(100)]
+    # a large component, and sets outside it that share elements of its prefixes but are like few others
+    sets = _variants(rng, base, [rng.randint(1, 4) for _ in range(60)] + [rng.randint(9, 14) for _ in range(40)])
+    rows = list(enumerate(sets))
+    want = _groups([(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if _like(x, y)], range(100))
+    made = _spied(monkeypatch, set_join)
+    found = {r.node: r.component for r in set_join.similar_components(spark.createDataFrame(rows, "node long, s array<bigint>"), _to_sets, 0.8, cell_cap=8).collect()}
+    assert {i: found.get(i, i) for i in range(100)} == want and 10 < len(set(want.values())) < 60
+    assert 0 < sum(made["crowded-sets"]) <= 200  # a row for each set and cell were 1172
+
+
+def test_blocks_of_joint_and_of_separate_cells(spark, monkeypatch):
+    rng = random.Random(19)
+    base = [rng.getrandbits(60) for _ in range(50)]
+    sets = dict(enumerate(_variants(rng, base, [1] * 10 + [8, 3, 9, 2, 7, 4, 8, 3, 9, 2, 6, 4, 7, 3, 9, 2, 8, 5, 7, 4])))
+    left = []
+    for token, nodes in ((1, range(10, 15)), (2, range(15, 20))):  # one main component, but other sets outside it: apart is less
+        left += [(token, n, 0 if n < 10 else n, 0, 15) for n in [*range(10), *nodes]]
+    for token in range(3, 8):  # the same sets in five cells
+        left += [(token, n, 5 if n < 10 else n, 5, 20) for n in [*range(10), *range(20, 30)]]
+    df = spark.createDataFrame(left, "token long, node long, c long, main long, count long")
+    rows = spark.createDataFrame(list(sets.items()), "node long, s array<bigint>")
+    true = [(a[1], b[1]) for a in left if a[2] != a[3] for b in left if a[0] == b[0] and a[2] != b[2] and _like(sets[a[1]], sets[b[1]])]
+    made = _spied(monkeypatch, set_join)
+    for block in (3, 256):
+        links = [tuple(r) for r in set_join._by_blocks(df, rows, _to_sets, 0.8, block).collect()]
+        assert set(links) <= set(true) and 2 < len({a for a, _ in true}) < 20
+        own = [(i, 0) for i in range(10)]
+        assert _groups(links + own, range(30)) == _groups(true + own, range(30))
+    assert made["crowded-sets"] == [50, 50]
+
+
+def test_prefixes_in_one_pass(spark, monkeypatch):
+    plans, stash = {}, set_join.stash
+    monkeypatch.setattr(set_join, "stash", lambda df, name: (plans.setdefault(name, _plan(df)), stash(df, name))[1])
+    rows = [(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5]), (3, [9])]
+    found = set_join.similar_components(spark.createDataFrame(rows, "node long, s array<bigint>"), _to_sets, 0.8).collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 1)]
+    assert plans["prefixes"].count("MapInArrow") == 1  # else two Python workers for each core
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    files = lambda: [f.getName() for f in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.getName().startswith("shuffle_")]
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, on = set(files()), spark.conf.get(key, None)
+    kept = spark.range(50_000).repartition(7, "id")
+    out = shared.stash(kept.groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    for _ in range(50):  # files go soon after
+        if set(files()) <= before:
+            break
+        time.sleep(0.1)
+    assert set(files()) <= before and out.count() == 1000 and spark.conf.get(key, None) == on
+    shared.discard(out)
+
+
+def test_near_copies_shuffle_texts_once(spark, monkeypatch):
+    plans, stash = {}, simhash.stash
+    monkeypatch.setattr(simhash, "stash", lambda df, name: (plans.setdefault(name, _plan(df)), stash(df, name))[1])
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i % 7 or None, f"text {i % 9} of some words here", "en", "s", 1) for i in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        out = corpus_pipeline.drop_near_copies(spark, docs, "")
+        plans["out"] = _plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert plans["texts"].count("Exchange hashpartitioning") == 2  # the texts and their heads
+    assert "Exchange hashpartitioning" not in plans["out"].split("LeftSemi")[0]
+    want = {(d, t) for d, t, *_ in rows}
+    assert {(r.doc_id, r.text) for r in out.collect()} <= want and out.count() == 9 and out.where("doc_id is null").count() <= 1
+
+
 def _brute(texts, width):
     counts = collections.Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []
