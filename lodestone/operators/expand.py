@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop, keep
+from ..sources.scratch import among, drop, keep
 from .graph import CAPTION, IMAGE
 
 TYPE_WEIGHTS = {"sem_sim": 1.0, "cooccur": 0.7, "paired_with": 1.0}
@@ -82,7 +82,9 @@ def context(expanded: DataFrame, captions: DataFrame, n_texts: int = 5, n_images
     """(query_id, texts, image_ids, caption_ids): the best captions' texts, cut, and the best images; captions (id, text)."""
     order = Window.partitionBy("query_id", "node_type").orderBy(F.desc("score"), "node_idx")
     top = expanded.withColumn("_r", F.row_number().over(order)).where(((F.col("node_type") == CAPTION) & (F.col("_r") <= n_texts)) | ((F.col("node_type") == IMAGE) & (F.col("_r") <= n_images)))
-    named = top.join(captions.select(F.col("id").alias("node_idx"), F.lit(CAPTION).alias("node_type"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")), ["node_type", "node_idx"], "left")
+    top = keep(top, "top")
+    wanted = top.where(F.col("node_type") == CAPTION).select(F.col("node_idx").alias("id"))
+    named = top.join(among(captions, wanted, "id").select(F.col("id").alias("node_idx"), F.lit(CAPTION).alias("node_type"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")), ["node_type", "node_idx"], "left")
 
     def listed(kind: str, column: str):
         return F.transform(F.sort_array(F.collect_list(F.when(F.col("node_type") == kind, F.struct("_r", F.col(column).alias("v"))))), lambda x: x["v"])

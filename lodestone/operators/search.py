@@ -13,6 +13,7 @@ from ..functions.text import jaccard, tokens
 from ..functions.vectors import aligned
 from ..session import ship
 from .fusion import FusionConfig, fuse
+from ..sources.scratch import among, keep
 from .knn import knn_join
 
 #: (query_id, id, ...) pairs to the same rows with a column s2; null where a pair can't be scored.
@@ -148,11 +149,13 @@ def _scores(model: PairModel, pairs: list[tuple]) -> list[float | None]:
 
 
 def jaccard_scorer(queries: DataFrame, corpus: DataFrame) -> Scorer:
-    """Token overlap of the query's text and the candidate's; queries (query_id, text), corpus (id, text)."""
+    """Token overlap of the query's text and the candidate's; queries (query_id, text), corpus (id, text). The pairs are written to the shared folder: only the
+    texts in them are cut into tokens, and a few of them go to where the texts are."""
 
     def score(pairs: DataFrame) -> DataFrame:
+        pairs = keep(pairs, "pairs")
         q = queries.select("query_id", tokens(F.col("text")).alias("_q"))
-        c = corpus.select("id", tokens(F.col("text")).alias("_c"))
+        c = among(corpus, pairs, "id").select("id", tokens(F.col("text")).alias("_c"))
         return pairs.join(q, "query_id", "left").join(c, "id", "left").withColumn("s2", jaccard(F.col("_q"), F.col("_c"))).drop("_q", "_c")
 
     return score
@@ -165,7 +168,7 @@ def stage1(queries: DataFrame, corpus: DataFrame, k1: int) -> DataFrame:
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k1: int = 50, k2: int = 10, config: FusionConfig = FusionConfig(), available: DataFrame | None = None) -> DataFrame:
     """The best k2 of the k1 nearest rows after reranking. Candidates that aren't in ``available`` (id) are left out of stage 2; a query that has none there keeps its stage-1 order."""
-    near = stage1(queries, corpus, k1)
+    near = keep(stage1(queries, corpus, k1), "near")
     pairs = near if available is None else near.join(available.select("id"), "id", "left_semi")
     scored = scorer(pairs.select("query_id", "id")).select("query_id", "id", "s2")
     return fuse(near.join(scored, ["query_id", "id"], "left"), k2, config)
@@ -175,9 +178,9 @@ def text_to_image(queries: DataFrame, images: DataFrame, k: int = 10) -> DataFra
     return knn_join(queries, images, k)
 
 
-def image_to_text(queries: DataFrame, captions: DataFrame, k: int = 10) -> DataFrame:
-    """With the captions' texts, joined by caption id."""
-    return knn_join(queries, captions, k).join(captions.select("id", "text"), "id", "left").select("query_id", "rank", "id", "text", "score")
+def image_to_text(queries: DataFrame, captions: DataFrame, k: int = 10, texts: DataFrame | None = None) -> DataFrame:
+    """With the captions' texts, joined by caption id; ``texts`` (id, text) if captions have none."""
+    return knn_join(queries, captions, k).join((captions if texts is None else texts).select("id", "text"), "id", "left").select("query_id", "rank", "id", "text", "score")
 
 
 def image_to_image(queries: DataFrame, images: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:

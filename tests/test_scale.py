@@ -1,11 +1,19 @@
 """What travels: vectors and texts aren't shuffled where a query doesn't need it."""
 
+import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lodestone.functions import vectors as fv
-from lodestone.operators import knn
+from lodestone.operators import knn, search
+from lodestone.plans import derived
+
+DATA = "/root/testdata/sf0.001"
+
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -61,3 +69,25 @@ def test_lsh_without_a_row_for_each_table(spark):
     scored = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round(fv.dot(F.col("datasetA.unit"), F.col("datasetB.unit")), 12).alias("score"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knn.top_k(scored, 8).collect()))
     assert scored.count() < 90 * 10
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_edges_by_ids_alone(spark, tmp_path):
+    at = str(tmp_path / "sf")
+    os.symlink(DATA, at)
+    for name in ("cooccur_edges", "paired_edges", "unpaired_captions", "node_json"):
+        read = re.findall(r"ReadSchema: struct<([^\n]*)>", _plan(entry.queries()[name](spark, at)))
+        assert read and not any("text" in columns for columns in read), name
+    assert not [k for k in derived._kept if k[1] == at]
+    entry.queries()["cross_type_links"](spark, at)
+    assert "text" not in derived._kept[(spark.sparkContext.applicationId, at, "captions")].columns
+
+
+def test_texts_are_not_shuffled_for_few_pairs(spark):
+    q = spark.createDataFrame([(0, "a b c")], "query_id long, text string")
+    c = spark.range(5000).selectExpr("id", "concat('a b ', id) AS text")
+    pairs = spark.createDataFrame([(0, 7), (0, 9), (0, 5001)], "query_id long, id long")
+    got = search.jaccard_scorer(q, c)(pairs)
+    texts = [line for line in _plan(got).splitlines() if "LeftSemi" in line]
+    assert texts and all("BroadcastHashJoin" in line for line in texts)
+    assert {r.id: r.s2 for r in got.collect()} == {7: 0.5, 9: 0.5, 5001: None}
