@@ -463,3 +463,17 @@ def test_spotsigs_classes(spark):
     for cap in (3, 64):
         got = {r.doc_id: r.class_id for r in spotsigs.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), cell_cap=cap).collect()}
         assert got == want | {1000: 1000, 1001: 1000, None: want[rows[3][0]]}
+
+
+def test_picked_rows_are_not_shuffled(spark, monkeypatch):
+    rows = spark.range(1000).select(F.col("id").alias("node"), F.lit("some text").alias("text"))
+    nodes = spark.createDataFrame([(3,), (5,), (3,), (2000,)], "node long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, kind in ((10, "BroadcastHashJoin"), (1, "SortMergeJoin")):
+            monkeypatch.setattr(set_join, "PICKED", most)
+            got, wanted = set_join._picked(rows, nodes, nodes.where("node > 3"))
+            assert kind in got._jdf.queryExecution().executedPlan().toString()
+            assert sorted(r.node for r in got.collect()) == [3, 5] and wanted.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
